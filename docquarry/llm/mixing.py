@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stage, table
 
 WEIGHTS, SHARE, MAX_REPEAT, BLOCK_TOKENS, SEED = (3, 1, 2), 1.5, 2, 1024, 17
-_RANGE_ROWS, _CHUNK, _CELLS = 20_000, 4096, 4096
+_RANGE_ROWS, _CHUNK, _CELLS = 2_000, 4096, 4096
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:

@@ -204,6 +204,8 @@ def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 3) -> list[tup
         left[capacity] = 0
     for _ in range(rounds):
         before = left.sum()
+        if not before:
+            break
         # configurations that waste nothing first, then those used most
         for config, x in sorted(solve_program(left, capacity), key=lambda c: (sum(n * k for n, k in c[0].items()) < capacity, -c[1])):
             times = min(int(x), *(int(left[n]) // k for n, k in config.items()))

@@ -3,13 +3,15 @@
 1. Python workers hash the words of whole texts to shingle sets; equal sets (by 128-bit fingerprint) become one class.
    Each set gets ``BANDS`` keys of ``ROWS`` minimum hashes and, from other hash functions, a sketch of 128 bytes.
 2. Classes that share a band key form a bucket. Nobody lists a bucket's pairs: first each member meets the bucket's
-   smallest member. Then, in buckets that still span several components, the members outside the largest component meet
-   the others, ``PIVOTS`` of them a round, until every two members of a bucket have met or are connected.
+   smallest member. In a bucket that then spans several components, one member of the largest component a round meets
+   everyone outside it, for ``ABSORB`` rounds; that joins most of a group of near copies. After that (at once in small
+   buckets) the members outside meet all that aren't of their component, ``PIVOTS`` of them a round, until every two
+   members of a bucket have met or are connected. Sets whose sizes alone rule the threshold out needn't meet.
 3. A pair that meets is compared on its sketch, 32 hashes at a time. After n hashes of which m agree, the similarity has
    the posterior Beta(m + 1, n - m + 1); the pair is dropped once P(similarity >= threshold) < ``MISS``. (Chance
    agreement of one-byte hashes only raises m, so it never drops more.)
-4. Survivors are verified on full sets. First one pair for each document; after that only those survivors whose ends
-   still lie in different components, since other links can't change a component.
+4. Survivors are verified on full sets: in the first round one pair for each document, later those survivors whose
+   ends still lie in different components, since other links can't change a component.
 5. Components by large-star / small-star.
 
 A pair of similarity exactly 0.8 shares no band with probability (1 - 0.8^8)^64 = 8e-6, less above.
@@ -22,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, small_batches, stage, table
 
 WIDTH, THRESHOLD = 5, 80  # words a shingle, similarity in percent
-BANDS, ROWS, SKETCH, BATCH, MISS, PIVOTS = 64, 8, 128, 32, 1e-6, 256
+BANDS, ROWS, SKETCH, BATCH, MISS, PIVOTS, ABSORB, SMALL = 64, 8, 128, 32, 1e-6, 256, 3, 4096
 #: Ids are broadcast to the document scan up to this many (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 600_000
@@ -173,40 +176,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     every = stage(sketches(docs, id_col, text_col, width), "near-sketches")
-    first = every.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("s"))
-    reps = stage(first.select("fp", F.col("s.doc_id").alias("rep"), "s.bands", "s.sketch"), "near-classes")
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
+    first = every.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s"))
+    reps = stage(first.select("fp", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch"), "near-classes")
+    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first")
     members = stage(rows.join(buckets, "key"), "near-buckets")
-
-    links, components = None, stage(reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), "near-none")
-    pairs = stage(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    met, retired = pairs, None
-    while True:
-        left = stage(_survivors(pairs, reps, percent / 100), "near-survivors")
-        best = left.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select("s.a", "b")
-        for wave in (0, 1):
-            if wave:
-                here, there = (components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-                apart = left.join(here, "a", "left").join(there, "b", "left")
-                best = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-            new = stage(_verified(stage(best, "near-best"), docs, id_col, text_col, width, percent), "near-links")
-            if new.isEmpty():
-                break
-            links = new if links is None else links.unionByName(new)
-            components = connected_components(links)
-        # the next round: of buckets that span components, the members outside the largest one meet the rest
-        lab = members.select("key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        per = lab.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max(F.struct("n", "c")).alias("top")).filter("cs > 1")
-        open_ = stage(lab.join(per.select("key", F.col("top.c").alias("main")), "key"), "near-open")
-        outside = open_.filter("c <> main")
+    near = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
+    ratio = lambda x, y: near(x, y) & near(y, x)
+
+    met = members.filter(F.col("rep") != F.col("first.rep")).withColumn("fn", F.col("first.n")).filter(ratio("n", "fn"))
+    pairs = stage(met.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    met, pool, links, retired = pairs, None, None, None
+    components = stage(reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), "near-none")
+    for turn_no in itertools.count():
+        found = _survivors(pairs, reps, percent / 100)
+        if pool is None:
+            pool = stage(found, "near-survivors")
+            chosen = stage(pool.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select("s.a", "b"), "near-chosen")
+            pool = pool.join(chosen, ["a", "b"], "left_anti")
+        else:
+            here, there = (components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            apart = pool.unionByName(found).join(here, "a", "left").join(there, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            chosen, pool = stage(apart.select("a", "b"), "near-chosen"), pool.limit(0)
+        if not chosen.isEmpty():
+            new = stage(_verified(chosen, docs, id_col, text_col, width, percent), "near-links")
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                components = stage(connected_components(links), "near-components")
+        lab = members.select("key", "rep", "n").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        per = lab.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")).filter("cs > 1")
+        open_ = lab.join(per.select("key", F.col("top.c").alias("main"), "m", F.col("top.k").alias("inside")), "key")
         if retired is not None:
-            outside = outside.join(retired, ["key", "rep"], "left_anti")
-        turn = outside.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("rep"))).filter(F.col("nth") <= pivots)
-        turn = stage(turn.select("key", F.col("rep").alias("p"), F.col("c").alias("pc")), "near-turn")
-        if turn.isEmpty():
+            open_ = open_.join(retired.withColumn("done", F.lit(True)), ["key", "rep"], "left")
+        else:
+            open_ = open_.withColumn("done", F.lit(None).cast("boolean"))
+        open_ = stage(open_, "near-open")
+        inner = F.lit(turn_no < ABSORB) & (F.col("inside") > 1) & ((F.col("m") - F.col("inside")) * F.col("m") > SMALL)
+        side = open_.filter(F.col("done").isNull() & (inner == (F.col("c") == F.col("main"))))
+        nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
+        turn = side.withColumn("nth", nth).filter(F.col("nth") <= F.when(inner, 1).otherwise(pivots))
+        turn = stage(turn.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "near-turn")
+        if turn.isEmpty() and (turn_no >= ABSORB or open_.filter("done IS NULL AND c <> main").isEmpty()):
             break
-        fresh = turn.join(open_, "key").filter("c <> pc").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+        fresh = turn.join(open_, "key").filter(F.col("c") != F.col("pc")).filter(ratio("n", "pn")).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         pairs = stage(fresh.join(met, ["a", "b"], "left_anti"), "near-pairs")
         met = met.unionByName(pairs)
         done = turn.select("key", F.col("p").alias("rep"))

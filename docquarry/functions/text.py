@@ -49,6 +49,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside another function's lambda a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without white space at both ends, Unicode white space included."""
     return F.regexp_replace(_c(x), rf"(?U)^{_WS}+|{_WS}+\z", "")
@@ -150,8 +155,9 @@ def equations(x: Column | str) -> Column:
     t = _c(x)
     found = F.concat(*(_all(t, p, 0) for p in (MATH_DISPLAY, MATH_BRACKET, MATH_ENV, MATH_INLINE)))
     found = F.filter(F.transform(found, strip), lambda e: F.contains(e, F.lit("\\label")))
-    keys = F.transform(found, collapse)
-    return F.filter(found, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    found = F.transform(found, lambda e: F.struct(e.alias("e"), collapse(e).alias("key")))
+    firsts = lambda es: let(F.transform(es, lambda x: x["key"]), lambda keys: F.filter(es, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+    return F.transform(let(found, firsts), lambda x: x["e"])
 
 
 def tokens(x: Column | str) -> Column:

@@ -32,16 +32,23 @@ def heading_level(line: Column) -> Column:
     return F.length(F.regexp_extract(line, r"(?U)^\s*(\S*)", 1))
 
 
-def _walk(file: str, text: str, docs: DataFrame) -> DataFrame:
-    """(file, lines, walk): each line with its number, whether it may be a boundary, and whether it is a heading."""
-    d = docs.select(F.col(file).alias("file"), T.lines(text).alias("lines")).withColumn("states", line_states(F.col("lines")))
-    free = lambda i: (F.when(i == 0, "N").otherwise(F.substring("states", i, F.lit(1))) == "N") & (F.substring("states", i + 1, F.lit(1)) == "N")
-    return d.withColumn("walk", F.transform("lines", lambda x, i: F.struct((i + 1).alias("n"), (free(i) & (T.strip(x) == "")).alias("blank"), (free(i) & F.regexp_replace(x, r"(?U)^\s+", "").startswith("#")).alias("heading"), x.alias("line"))))
+def _walk(text: Column | str) -> Column:
+    """array(struct(n, blank, heading, line)): each line, whether it may end a paragraph, whether it is a heading."""
+
+    def marks(lines: Column, states: Column) -> Column:
+        free = lambda i: (F.when(i == 0, "N").otherwise(F.substring(states, i, F.lit(1))) == "N") & (F.substring(states, i + 1, F.lit(1)) == "N")
+        return F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), (free(i) & (T.strip(x) == "")).alias("blank"), (free(i) & F.regexp_replace(x, r"(?U)^\s+", "").startswith("#")).alias("heading"), x.alias("line")))
+
+    return T.let(T.lines(text), lambda lines: T.let(line_states(lines), lambda states: marks(lines, states)))
 
 
 def sections(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
-    """(file, lines, walk, sections): sections are array(struct(start, end, level, title, path))."""
-    d = _walk(file_col, text_col, docs).withColumn("heads", F.filter("walk", lambda x: x["heading"]))
+    """(file, walk, sections): sections are array(struct(start, end, level, title, path))."""
+    d = docs.select(F.col(file_col).alias("file"), T.let(_walk(text_col), lambda w: F.struct(w.alias("walk"), _sections(w).alias("sections"))).alias("d"))
+    return d.select("file", "d.walk", "d.sections")
+
+
+def _sections(walk: Column) -> Column:
     bare = lambda x: F.regexp_replace(x["line"], r"(?U)^\s+", "")
     start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<start:int,level:int,title:string,path:string>>").alias("out"))
 
@@ -53,29 +60,33 @@ def sections(docs: DataFrame, file_col: str = "file", text_col: str = "text") ->
         own = F.struct(x["n"].cast("int").alias("start"), level.cast("int").alias("level"), title.alias("title"), path.alias("path"))
         return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(own)).alias("out"))
 
-    d = d.withColumn("heads", F.aggregate("heads", start, step, lambda s: s["out"]))
     before = F.struct(F.lit(1).alias("start"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit("").alias("path"))
-    preamble = (F.size("lines") > 0) & (F.coalesce(F.get("heads", F.lit(0))["start"], F.lit(0)) != 1)
-    d = d.withColumn("heads", F.when(preamble, F.concat(F.array(before), F.col("heads"))).otherwise(F.col("heads")))
-    whole = F.transform("heads", lambda h, i: F.struct(h["start"].alias("start"), (F.coalesce(F.get("heads", i + 1)["start"] - 1, F.size("lines"))).alias("end"), h["level"].alias("level"), h["title"].alias("title"), h["path"].alias("path")))
-    return d.select("file", "lines", "walk", whole.alias("sections"))
+
+    def whole(heads: Column) -> Column:
+        return F.transform(heads, lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(heads, i + 1)["start"] - 1, F.size(walk)).alias("end"), h["level"].alias("level"), h["title"].alias("title"), h["path"].alias("path")))
+
+    preamble = lambda heads: F.when((F.size(walk) > 0) & (F.coalesce(F.get(heads, F.lit(0))["start"], F.lit(0)) != 1), F.concat(F.array(before), heads)).otherwise(heads)
+    folded = F.aggregate(F.filter(walk, lambda x: x["heading"]), start, step, lambda s: s["out"])
+    return T.let(folded, lambda heads: T.let(preamble(heads), whole))
 
 
-def _paragraphs(s: Column) -> Column:
+def _paragraphs(walk: Column, s: Column) -> Column:
     """Paragraphs of a section: they end with a blank line, or with the section; consecutive blanks are empty ones."""
-    ends = F.transform(F.filter(F.slice("walk", s["start"], s["end"] - s["start"] + 1), lambda x: x["blank"]), lambda x: x["n"])
-    ends = F.when(F.coalesce(F.get(F.reverse(ends), F.lit(0)), F.lit(0)) == s["end"], ends).otherwise(F.concat(ends, F.array(s["end"])))
-    return F.transform(
-        ends,
-        lambda e, i: F.struct(
-            F.when(i == 0, s["start"]).otherwise(F.get(ends, i - 1) + 1).cast("int").alias("start"), e.cast("int").alias("end"),
-            F.regexp_replace(F.array_join(F.slice("lines", F.when(i == 0, s["start"]).otherwise(F.get(ends, i - 1) + 1).cast("int"), (e - F.when(i == 0, s["start"]).otherwise(F.get(ends, i - 1) + 1) + 1).cast("int")), "\n"), r"(?U)[\s\x1c-\x1f]+\z", "").alias("text"),
-        ),
-    )
+
+    def cut(ends: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            first = F.when(i == 0, s["start"]).otherwise(F.get(ends, i - 1) + 1)
+            text = F.array_join(F.transform(F.slice(walk, first, e - first + 1), lambda x: x["line"]), "\n")
+            return F.struct(first.alias("start"), e.alias("end"), F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "").alias("text"))
+
+        return F.transform(ends, one)
+
+    blanks = F.transform(F.filter(F.slice(walk, s["start"], s["end"] - s["start"] + 1), lambda x: x["blank"]), lambda x: x["n"])
+    closed = lambda ends: F.when(F.coalesce(F.get(F.reverse(ends), F.lit(0)), F.lit(0)) == s["end"], ends).otherwise(F.concat(ends, F.array(s["end"])))
+    return T.let(blanks, lambda ends: T.let(closed(ends), cut))
 
 
-def _section_chunks(s: Column) -> Column:
-    paras, cuts = s["paras"], s["cuts"]
+def _section_chunks(s: Column, paras: Column, cuts: Column) -> Column:
     upto = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(paras))
     own = lambda a, i: F.slice(paras, a + 1, upto(i) - a)
     carry = lambda a: F.when((a > 0) & (T.strip(F.get(paras, a - 1)["text"]) != ""), F.array(F.get(paras, a - 1)["text"])).otherwise(F.array().cast("array<string>"))
@@ -91,10 +102,9 @@ def _section_chunks(s: Column) -> Column:
 
 def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """Raw chunks in document order, one row each: file, pos, id, section_path, start_line, end_line, text, labels, refs, equations_raw, equation_count, meta."""
-    d = sections(docs, file_col, text_col)
-    d = d.withColumn("sections", F.transform("sections", lambda s: F.struct(s["path"].alias("path"), s["level"].alias("level"), s["title"].alias("title"), _paragraphs(s).alias("paras"))))
-    d = d.withColumn("sections", F.transform("sections", lambda s: F.struct(s["path"].alias("path"), s["level"].alias("level"), s["title"].alias("title"), s["paras"].alias("paras"), break_points(F.transform(s["paras"], lambda p: F.length(p["text"])), 1, 1, soft_needs_item=False).alias("cuts"))))
-    d = d.select("file", F.flatten(F.transform("sections", _section_chunks)).alias("chunks"))
+    cuts = lambda paras: break_points(F.transform(paras, lambda p: F.length(p["text"])), 1, 1, soft_needs_item=False)
+    own = lambda walk: lambda s: T.let(_paragraphs(walk, s), lambda paras: T.let(cuts(paras), lambda c: _section_chunks(s, paras, c)))
+    d = docs.select(F.col(file_col).alias("file"), T.let(_walk(text_col), lambda walk: F.flatten(F.transform(_sections(walk), own(walk)))).alias("chunks"))
     rows = d.select("file", F.posexplode("chunks").alias("pos", "c")).select("file", "pos", "c.*")
     ident = F.concat(T.stem("file"), F.lit("::L"), "start_line", F.lit("-"), "end_line", F.lit("::s"), "idx")
     eq = T.equations("text")
@@ -127,8 +137,8 @@ def link(chunks: DataFrame) -> DataFrame:
 
 def normalise(chunks: DataFrame, clock: int = 0, drop_empty: bool = True) -> DataFrame:
     """The md chunk records; ``clock`` is the time of ingestion in seconds."""
-    text = T.strip(F.coalesce("text", F.lit("")))
-    eq = T.equations(text)
+    chunks = chunks.withColumn("text", T.strip(F.coalesce("text", F.lit(""))))
+    text, eq = F.col("text"), T.equations("text")
     out = chunks.select(
         T.stable_chunk_id("id", T.paper_id("id", "file"), "pos").alias("chunk_id"), T.paper_id("id", "file").alias("paper_id"), F.coalesce("file", F.lit("")).alias("source_file"),
         T.section_choice("meta.heading.title", "section_path").alias("section"), "labels", "refs", "neighbors", "start_line", "end_line", text.alias("text"), F.length(text).alias("text_len"),

@@ -16,11 +16,15 @@ VERSION = "pptxt-0.1"
 
 def paragraphs(text: Column | str) -> Column:
     """array(struct(start, end, text, hint)): runs of non-blank lines that hold more than two letters or a space."""
-    stripped = F.transform(T.lines(text), T.strip)
-    at = F.transform(stripped, lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.coalesce(F.get(stripped, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(stripped, i + 1), F.lit("")).alias("after")))
-    starts = F.transform(F.filter(at, lambda x: (x["s"] != "") & ((x["before"] == "") | (x["i"] == 0))), lambda x: x["i"] + 1)
-    ends = F.transform(F.filter(at, lambda x: (x["s"] != "") & (x["after"] == "")), lambda x: x["i"] + 1)
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.array_join(F.slice(stripped, a.cast("int"), (b - a + 1).cast("int")), "\n").alias("text")))
+    def runs(s: Column) -> Column:
+        n = F.sequence(F.lit(1), F.size(s))
+        has = lambda i: F.coalesce(F.get(s, i - 1), F.lit("")) != ""
+        starts = F.filter(n, lambda i: has(i) & ((i == 1) | ~has(i - 1)))
+        ends = F.filter(n, lambda i: has(i) & ~has(i + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.array_join(F.slice(s, a, b - a + 1), "\n").alias("text")))
+
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    spans = T.let(F.transform(T.lines(text), T.strip), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
     kept = F.filter(spans, lambda p: (F.length(F.regexp_replace(p["text"], "[^0-9A-Za-z]+", "")) > 2) | F.contains(p["text"], F.lit(" ")))
     return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), T.section_hint(p["text"]).alias("hint")))
 
@@ -66,32 +70,32 @@ def raw_chunks(text: Column | str) -> Column:
     return F.flatten(F.transform(paragraphs(text), lambda p: F.transform(long(p), lambda s: F.struct(p["start"].alias("start"), p["end"].alias("end"), s.alias("text"), p["hint"].alias("hint")))))
 
 
-def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
-    """Raw chunks, one row each: file, idx, id, section, start_line, end_line, text, neighbors."""
-    items = docs.select(F.col(file_col).alias("file"), raw_chunks(text_col).alias("items"))
-    items = items.select("file", "items", break_points(F.transform("items", lambda x: F.length(x["text"])), 2, 0).alias("cuts"))
-    one = F.transform(
-        "cuts",
-        lambda a, i: F.struct(
-            i.cast("int").alias("idx"), F.slice("items", a + 1, F.coalesce(F.get("cuts", i + 1), F.size("items")) - a).alias("own"),
-            F.when(a > 0, F.get("items", a - 1)["text"]).alias("carry"), F.slice("items", F.lit(1), F.coalesce(F.get("cuts", i + 1), F.size("items"))).alias("upto"),
-        ),
-    )
-    body = F.transform(
-        one,
-        lambda c: F.struct(
-            c["idx"].alias("idx"),
-            F.coalesce(F.get(F.reverse(F.filter(F.transform(c["upto"], lambda x: x["hint"]), lambda h: h != "")), F.lit(0)), F.lit("")).alias("section"),
-            F.get(c["own"], F.lit(0))["start"].alias("start_line"), F.element_at(c["own"], -1)["end"].alias("end_line"),
-            T.strip(F.array_join(F.concat(F.when(F.coalesce(T.strip(c["carry"]), F.lit("")) != "", F.array(c["carry"])).otherwise(F.array().cast("array<string>")), F.transform(c["own"], lambda x: x["text"])), "\n\n")).alias("text"),
-        ),
-    )
-    out = items.select("file", body.alias("chunks")).select("file", "chunks", _ids().alias("ids"))
-    return out.select("file", "ids", F.posexplode("chunks").alias("pos", "c")).select("file", "c.idx", F.get("ids", F.col("pos")).alias("id"), "c.section", "c.start_line", "c.end_line", "c.text", neighbours("ids", F.col("pos")).alias("neighbors"))
+def _chunks(items: Column, cuts: Column) -> Column:
+    upto = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(items))
+    hints = lambda i: F.filter(F.transform(F.slice(items, F.lit(1), upto(i)), lambda x: x["hint"]), lambda h: h != "")
 
+    def one(a: Column, i: Column) -> Column:
+        carry = F.when(a > 0, F.get(items, a - 1)["text"])
+        return T.let(
+            F.slice(items, a + 1, upto(i) - a),
+            lambda own: F.struct(
+                i.cast("int").alias("idx"), F.coalesce(F.get(F.reverse(hints(i)), F.lit(0)), F.lit("")).alias("section"),
+                F.get(own, F.lit(0))["start"].alias("start_line"), F.element_at(own, -1)["end"].alias("end_line"),
+                T.strip(F.array_join(F.concat(F.when(T.strip(carry) != "", F.array(carry)).otherwise(F.array().cast("array<string>")), F.transform(own, lambda x: x["text"])), "\n\n")).alias("text"),
+            ),
+        )
 
-def _ids() -> Column:
-    return F.transform("chunks", lambda c: F.concat(T.stem("file"), F.lit("::L"), c["start_line"], F.lit("-"), c["end_line"], F.lit("::c"), c["idx"]))
+    return F.transform(cuts, one)
+
+
+def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """Raw chunks, one row each: file, idx, id, section, start_line, end_line, text, neighbors."""
+    cuts = lambda items: break_points(F.transform(items, lambda x: F.length(x["text"])), 2, 0)
+    chunks = T.let(raw_chunks(text_col), lambda items: T.let(cuts(items), lambda c: _chunks(items, c)))
+    ident = lambda c: F.concat(T.stem(file_col), F.lit("::L"), c["start_line"], F.lit("-"), c["end_line"], F.lit("::c"), c["idx"])
+    linked = T.let(chunks, lambda cs: T.let(F.transform(cs, ident), lambda ids: F.transform(cs, lambda c, i: F.struct(F.get(ids, i).alias("id"), c.alias("c"), neighbours(ids, i).alias("neighbors")))))
+    rows = docs.select(F.col(file_col).alias("file"), F.explode(linked).alias("x"))
+    return rows.select("file", "x.c.idx", "x.id", "x.c.section", "x.c.start_line", "x.c.end_line", "x.c.text", "x.neighbors")
 
 
 def neighbours(ids: Column | str, pos: Column) -> Column:
@@ -101,7 +105,8 @@ def neighbours(ids: Column | str, pos: Column) -> Column:
 
 def normalise(chunks: DataFrame, clock: int = 0, drop_empty: bool = True) -> DataFrame:
     """The txt chunk records; ``clock`` is the time of ingestion in seconds."""
-    text = T.strip(F.coalesce("text", F.lit("")))
+    chunks = chunks.withColumn("text", T.strip(F.coalesce("text", F.lit(""))))
+    text = F.col("text")
     path = F.coalesce(F.nullif(F.col("section"), F.lit("")), F.nullif(T.section_hint(text), F.lit("")), F.substring(T.first_line(text), 1, 120))
     out = chunks.select(
         T.stable_chunk_id("id", T.paper_id("id", "file"), "idx").alias("chunk_id"), T.paper_id("id", "file").alias("paper_id"), F.coalesce("file", F.lit("")).alias("source_file"),

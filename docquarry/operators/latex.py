@@ -12,6 +12,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -54,7 +55,7 @@ def remove_environments(text: str, names=DROPPED) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _remove_environments(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else remove_environments(t))
 

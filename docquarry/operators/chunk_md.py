@@ -1,110 +1,44 @@
 """Markdown chunking: fences, sections by heading, size-bounded packing with overlap, cross-reference graph.
 
-Sections and chunks are expressions over a document's own lines (no shuffle). Only the cross-reference graph joins, by
-(file, label).
+Fences, sections and packing are one fold over a document's lines (see folds), in Arrow batches, without a shuffle. Only
+the cross-reference graph joins, by (file, label).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .chunk_txt import break_points
+from . import folds
 
 VERSION = "ppmdc-0.1"
 _NONE = "array<struct<id:string,direction:string>>"
 
 
-def line_states(lines: Column) -> Column:
-    """One letter a line, the state after it: N normal, C in a code fence, M in display maths."""
+_SECTION = "array<struct<level:int,title:string,path:string,start:int,end:int>>"
+_CHUNK = "array<struct<idx:int,section_path:string,level:int,title:string,start_line:int,end_line:int,text:string>>"
 
-    def step(acc, line):
-        now, s = F.coalesce(F.nullif(F.right(acc, F.lit(1)), F.lit("")), F.lit("N")), T.strip(line)
-        code, maths = s.startswith("```"), s.startswith("$$")
-        after = F.when((now == "N") & code, "C").when((now == "N") & maths, "M").when((now == "C") & code, "N").when((now == "M") & maths, "N").otherwise(now)
-        return F.concat(acc, after)
 
-    return F.aggregate(lines, F.lit(""), step)
+def _sections(texts: pd.Series) -> pd.Series:
+    one = lambda level, title, path, paras: {"level": level, "title": title, "path": path, "start": paras[0][0], "end": paras[-1][1]}
+    return texts.map(lambda t: [one(*s) for s in folds.markdown_sections(t or "")])
 
 
-def heading_level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"(?U)^\s*(\S*)", 1))
-
-
-def _walk(text: Column | str) -> Column:
-    """array(struct(n, blank, heading, line)): each line, whether it may end a paragraph, whether it is a heading."""
-
-    def marks(lines: Column, states: Column) -> Column:
-        free = lambda i: (F.when(i == 0, "N").otherwise(F.substring(states, i, F.lit(1))) == "N") & (F.substring(states, i + 1, F.lit(1)) == "N")
-        return F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), (free(i) & (T.strip(x) == "")).alias("blank"), (free(i) & F.regexp_replace(x, r"(?U)^\s+", "").startswith("#")).alias("heading"), x.alias("line")))
-
-    return T.let(T.lines(text), lambda lines: T.let(line_states(lines), lambda states: marks(lines, states)))
+def _chunks(texts: pd.Series) -> pd.Series:
+    names = ("idx", "section_path", "level", "title", "start_line", "end_line", "text")
+    return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in folds.markdown_chunks(t or "")])
 
 
 def sections(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
-    """(file, walk, sections): sections are array(struct(start, end, level, title, path))."""
-    d = docs.select(F.col(file_col).alias("file"), T.let(_walk(text_col), lambda w: F.struct(w.alias("walk"), _sections(w).alias("sections"))).alias("d"))
-    return d.select("file", "d.walk", "d.sections")
-
-
-def _sections(walk: Column) -> Column:
-    bare = lambda x: F.regexp_replace(x["line"], r"(?U)^\s+", "")
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<start:int,level:int,title:string,path:string>>").alias("out"))
-
-    def step(s, x):
-        level = heading_level(x["line"])
-        title = F.when(F.contains(bare(x), F.lit(" ")), F.regexp_extract(bare(x), r"(?s)^[^ ]* (.*)$", 1)).otherwise("")
-        stack = F.concat(F.slice(s["stack"], F.lit(1), F.least(F.size(s["stack"]), level - 1)), F.array(title))
-        path = F.array_join(F.filter(F.transform(stack, T.strip), lambda t: t != ""), " / ")
-        own = F.struct(x["n"].cast("int").alias("start"), level.cast("int").alias("level"), title.alias("title"), path.alias("path"))
-        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(own)).alias("out"))
-
-    before = F.struct(F.lit(1).alias("start"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit("").alias("path"))
-
-    def whole(heads: Column) -> Column:
-        return F.transform(heads, lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(heads, i + 1)["start"] - 1, F.size(walk)).alias("end"), h["level"].alias("level"), h["title"].alias("title"), h["path"].alias("path")))
-
-    preamble = lambda heads: F.when((F.size(walk) > 0) & (F.coalesce(F.get(heads, F.lit(0))["start"], F.lit(0)) != 1), F.concat(F.array(before), heads)).otherwise(heads)
-    folded = F.aggregate(F.filter(walk, lambda x: x["heading"]), start, step, lambda s: s["out"])
-    return T.let(folded, lambda heads: T.let(preamble(heads), whole))
-
-
-def _paragraphs(walk: Column, s: Column) -> Column:
-    """Paragraphs of a section: they end with a blank line, or with the section; consecutive blanks are empty ones."""
-
-    def cut(ends: Column) -> Column:
-        def one(e: Column, i: Column) -> Column:
-            first = F.when(i == 0, s["start"]).otherwise(F.get(ends, i - 1) + 1)
-            text = F.array_join(F.transform(F.slice(walk, first, e - first + 1), lambda x: x["line"]), "\n")
-            return F.struct(first.alias("start"), e.alias("end"), F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "").alias("text"))
-
-        return F.transform(ends, one)
-
-    blanks = F.transform(F.filter(F.slice(walk, s["start"], s["end"] - s["start"] + 1), lambda x: x["blank"]), lambda x: x["n"])
-    closed = lambda ends: F.when(F.coalesce(F.get(F.reverse(ends), F.lit(0)), F.lit(0)) == s["end"], ends).otherwise(F.concat(ends, F.array(s["end"])))
-    return T.let(blanks, lambda ends: T.let(closed(ends), cut))
-
-
-def _section_chunks(s: Column, paras: Column, cuts: Column) -> Column:
-    upto = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(paras))
-    own = lambda a, i: F.slice(paras, a + 1, upto(i) - a)
-    carry = lambda a: F.when((a > 0) & (T.strip(F.get(paras, a - 1)["text"]) != ""), F.array(F.get(paras, a - 1)["text"])).otherwise(F.array().cast("array<string>"))
-    return F.transform(
-        cuts,
-        lambda a, i: F.struct(
-            i.cast("int").alias("idx"), s["path"].alias("section_path"), s["level"].alias("level"), s["title"].alias("title"),
-            F.get(own(a, i), F.lit(0))["start"].alias("start_line"), F.element_at(own(a, i), -1)["end"].alias("end_line"),
-            T.strip(F.array_join(F.concat(carry(a), F.transform(own(a, i), lambda p: p["text"])), "\n\n")).alias("text"),
-        ),
-    )
+    """(file, sections): array(struct(level, title, path, start, end)); text before the first heading has level 0."""
+    return docs.select(F.col(file_col).alias("file"), F.pandas_udf(_sections, _SECTION)(F.col(text_col)).alias("sections"))
 
 
 def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """Raw chunks in document order, one row each: file, pos, id, section_path, start_line, end_line, text, labels, refs, equations_raw, equation_count, meta."""
-    cuts = lambda paras: break_points(F.transform(paras, lambda p: F.length(p["text"])), 1, 1, soft_needs_item=False)
-    own = lambda walk: lambda s: T.let(_paragraphs(walk, s), lambda paras: T.let(cuts(paras), lambda c: _section_chunks(s, paras, c)))
-    d = docs.select(F.col(file_col).alias("file"), T.let(_walk(text_col), lambda walk: F.flatten(F.transform(_sections(walk), own(walk)))).alias("chunks"))
+    d = docs.select(F.col(file_col).alias("file"), F.pandas_udf(_chunks, _CHUNK)(F.col(text_col)).alias("chunks"))
     rows = d.select("file", F.posexplode("chunks").alias("pos", "c")).select("file", "pos", "c.*")
     ident = F.concat(T.stem("file"), F.lit("::L"), "start_line", F.lit("-"), "end_line", F.lit("::s"), "idx")
     eq = T.equations("text")

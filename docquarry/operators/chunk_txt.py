@@ -1,16 +1,19 @@
 """Plain-text chunking: paragraphs, sentence-aware splitting, size-bounded packing with overlap, section tracking.
 
-Everything is an expression over a document's own arrays, so a document never leaves its row: no shuffle, no Python.
+Paragraphs and splitting are also expressions; the packing of whole documents is a fold (see folds), in Arrow batches. A
+document never leaves its row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import folds
+from .folds import MAX
 
-MAX, HARD, MIN = 1800, 2400, 200
 VERSION = "pptxt-0.1"
 
 
@@ -48,54 +51,19 @@ def split_long(text: Column | str, most: int = MAX) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(F.flatten(wide))
 
 
-def break_points(lengths: Column, gap: int, first_gap: int, maximum: int = MAX, hard: int = HARD, least: int = MIN, soft_needs_item: bool = True) -> Column:
-    """The indexes (from 0) at which the greedy packing of items of these lengths opens a new chunk."""
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("size"))
+_CHUNK = "array<struct<idx:int,section:string,start_line:int,end_line:int,text:string>>"
 
-    def step(s, length):
-        add = length + F.when(s["n"] > 0, gap).otherwise(first_gap)
-        over = ((s["size"] + add > maximum) & (s["size"] >= least)) | ((s["size"] + add > hard) & ((s["n"] > 0) if soft_needs_item else (s["size"] > 0)))
-        cut = (s["i"] == 0) | ((s["n"] > 0) & over)
-        return F.struct(
-            F.when(cut, F.concat(s["at"], F.array(s["i"]))).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"),
-            F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), F.when(cut, length + first_gap).otherwise(s["size"] + add).alias("size"),
-        )
 
-    return F.aggregate(lengths, start, step, lambda s: s["at"])
-
-
-def raw_chunks(text: Column | str) -> Column:
-    """array(struct(idx, section, start_line, end_line, text)) of a document."""
-    long = lambda p: F.when(F.length(p["text"]) <= HARD, F.array(p["text"])).otherwise(split_long(p["text"]))
-    return F.flatten(F.transform(paragraphs(text), lambda p: F.transform(long(p), lambda s: F.struct(p["start"].alias("start"), p["end"].alias("end"), s.alias("text"), p["hint"].alias("hint")))))
-
-
-def _chunks(items: Column, cuts: Column) -> Column:
-    upto = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(items))
-    hints = lambda i: F.filter(F.transform(F.slice(items, F.lit(1), upto(i)), lambda x: x["hint"]), lambda h: h != "")
-
-    def one(a: Column, i: Column) -> Column:
-        carry = F.when(a > 0, F.get(items, a - 1)["text"])
-        return T.let(
-            F.slice(items, a + 1, upto(i) - a),
-            lambda own: F.struct(
-                i.cast("int").alias("idx"), F.coalesce(F.get(F.reverse(hints(i)), F.lit(0)), F.lit("")).alias("section"),
-                F.get(own, F.lit(0))["start"].alias("start_line"), F.element_at(own, -1)["end"].alias("end_line"),
-                T.strip(F.array_join(F.concat(F.when(T.strip(carry) != "", F.array(carry)).otherwise(F.array().cast("array<string>")), F.transform(own, lambda x: x["text"])), "\n\n")).alias("text"),
-            ),
-        )
-
-    return F.transform(cuts, one)
+def _chunks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [dict(zip(("idx", "section", "start_line", "end_line", "text"), c, strict=True)) for c in folds.text_chunks(t or "")])
 
 
 def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """Raw chunks, one row each: file, idx, id, section, start_line, end_line, text, neighbors."""
-    cuts = lambda items: break_points(F.transform(items, lambda x: F.length(x["text"])), 2, 0)
-    chunks = T.let(raw_chunks(text_col), lambda items: T.let(cuts(items), lambda c: _chunks(items, c)))
-    ident = lambda c: F.concat(T.stem(file_col), F.lit("::L"), c["start_line"], F.lit("-"), c["end_line"], F.lit("::c"), c["idx"])
-    linked = T.let(chunks, lambda cs: T.let(F.transform(cs, ident), lambda ids: F.transform(cs, lambda c, i: F.struct(F.get(ids, i).alias("id"), c.alias("c"), neighbours(ids, i).alias("neighbors")))))
-    rows = docs.select(F.col(file_col).alias("file"), F.explode(linked).alias("x"))
-    return rows.select("file", "x.c.idx", "x.id", "x.c.section", "x.c.start_line", "x.c.end_line", "x.c.text", "x.neighbors")
+    d = docs.select(F.col(file_col).alias("file"), F.pandas_udf(_chunks, _CHUNK)(F.col(text_col)).alias("chunks"))
+    ids = F.transform("chunks", lambda c: F.concat(T.stem("file"), F.lit("::L"), c["start_line"], F.lit("-"), c["end_line"], F.lit("::c"), c["idx"]))
+    rows = d.withColumn("ids", ids).select("file", "ids", F.posexplode("chunks").alias("pos", "c"))
+    return rows.select("file", "c.idx", F.get("ids", F.col("pos")).alias("id"), "c.section", "c.start_line", "c.end_line", "c.text", neighbours("ids", F.col("pos")).alias("neighbors"))
 
 
 def neighbours(ids: Column | str, pos: Column) -> Column:

@@ -156,4 +156,4 @@ def convert(docs: DataFrame, text_col: str, to: str) -> DataFrame:
         return s.map(one)
 
     got = docs.withColumn("converted", external(text_col))
-    return got.withColumn("converted", F.coalesce("converted", naive_text(text_col))) if to == "txt" else got
+    return got.withColumn("converted", F.coalesce("converted", F.when(F.col(text_col).isNotNull(), naive_text(text_col)))) if to == "txt" else got

@@ -17,10 +17,10 @@ columns are ignored; label, source and id are never inputs of a prediction.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,26 +28,29 @@ from .common import held_out, small_batches, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
-CACHE_WORDS, MAX_WORD, ROUNDS = 300_000, 64, 30
-_letter = re.compile(r"[^\W\d_]")
+MAX_WORD, ROUNDS = 64, 20
 _words = re.compile(r"[^\W\d_]+")
-
-
-def grams(word: str) -> np.ndarray:
-    """Buckets of a word's n-grams; its ends count as a letter."""
-    w = f"\x02{word}\x03"
-    return np.array([xxhash.xxh3_64_intdigest(w[k : k + n]) % BUCKETS for n in range(1, N + 1) for k in range(len(w) - n + 1)], np.int64)
-
-
-class _Grams(dict):
-    def __missing__(self, word):
-        g = grams(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = g
-        return g
-
-
-_grams = _Grams()
+_U = np.uint64
+_MUL = _U(0x9E3779B97F4A7C15)
+
+
+def grams(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of every n-gram of all words, where each word's n-grams begin); a word's two ends count as letters."""
+    c = np.frombuffer("".join([f"\x02{w}\x03" for w in words_]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = c == 3
+    h, rows, ok = np.zeros(len(c), np.uint64), [], np.ones(len(c), bool)
+    for n in range(N):
+        if n:
+            ok = ok[:-1] & ~end[n - 1 : len(c) - 1]
+        h = (h[: len(c) - n] + c[n:] + _U(n + 1)) * _MUL
+        h = h ^ (h >> _U(29))
+        rows.append(np.where(ok, (h % _U(BUCKETS)).astype(np.int64), -1))
+    m = np.full((len(c), N), -1, np.int64)
+    for n, r in enumerate(rows):
+        m[: len(r), n] = r
+    first = np.flatnonzero(c == 2)
+    held = m.ravel() >= 0
+    return m.ravel()[held], np.concatenate(([0], np.cumsum(held)))[first * N]
 
 
 def words(text: str | None) -> list[str]:
@@ -63,18 +66,17 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        from collections import Counter
-
         seen: dict[str, Counter] = {}
         total: dict[str, np.ndarray] = {}
 
         def flush(lang):
             own = seen.pop(lang, None)
             if own:
-                g = [_grams[w] for w in own]
-                weights = np.repeat(np.fromiter(own.values(), np.int64, len(own)), [len(x) for x in g])
+                g, first = grams(list(own))
+                times = np.diff(np.append(first, len(g)))
+                weights = np.repeat(np.fromiter(own.values(), float, len(own)), times)
                 total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                np.add.at(total[lang], np.concatenate(g), weights)
+                total[lang] += np.bincount(g, weights, BUCKETS).astype(np.int64)
 
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -105,38 +107,53 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, np.log((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)) if langs else n
 
 
-def mixture(like: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Proportions by expectation-maximisation, and the log-likelihood. like: words x languages, each row's best is 1."""
-    p = np.full(like.shape[1], 1 / like.shape[1])
-    total = weight.sum()
+def mixtures(like: np.ndarray, weight: np.ndarray, first: np.ndarray, p: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation for many texts at once: proportions p (texts x languages) and log-likelihoods.
+
+    like: the words of all texts x languages, each row's best is 1; text t has the words from first[t] on. Languages with
+    proportion 0 stay out.
+    """
+    size = np.diff(np.append(first, len(like)))
+    text, total = np.repeat(np.arange(len(first)), size), np.add.reduceat(weight, first)[:, None]
     for _ in range(rounds):
-        post = like * p
-        row = post.sum(axis=1)
-        new = (weight / row) @ post / total
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
+        post = like * p[text]
+        post *= (weight / post.sum(axis=1))[:, None]
+        new = np.add.reduceat(post, first, axis=0) / total
+        moved = np.abs(new - p).max()
         p = new
-    return p, float(weight @ np.log(like @ p))
-
-
-def infer(loglike: np.ndarray, weight: np.ndarray) -> dict[int, float]:
-    """The language set of greatest penalised likelihood and its proportions."""
-    loglike = loglike - loglike.max(axis=1, keepdims=True)
-    like = np.exp(np.maximum(loglike, -60.0))
-    chosen = np.arange(like.shape[1])
-    fine = np.log(max(2.0, weight.sum())) / 2
-    p, best = mixture(like, weight)
-    best -= fine * len(chosen)
-    while len(chosen) > 1:
-        # languages in the order of their proportion: the weakest is the one whose removal costs least
-        rest = np.delete(np.arange(len(chosen)), p.argmin())
-        q, value = mixture(like[:, chosen[rest]], weight)
-        value -= fine * len(rest)
-        if value < best:
+        if moved < 1e-3:
+            break
+    return p, np.add.reduceat(weight * np.log((like * p[text]).sum(axis=1)), first)
+
+
+def infer(loglike: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Proportions of each text's language set of greatest penalised likelihood (texts x languages, 0 outside the set)."""
+    like = np.exp(np.maximum(loglike - loglike.max(axis=1, keepdims=True), -60.0))
+    n, k = len(first), like.shape[1]
+    fine = np.log(np.maximum(2.0, np.add.reduceat(weight, first))) / 2
+    p, value = mixtures(like, weight, first, np.full((n, k), 1 / k))
+    best, value = p.copy(), value - k * fine
+    open_, size = np.arange(n), np.diff(np.append(first, len(like)))
+    for langs in range(k - 1, 0, -1):
+        if not len(open_):
+            break
+        # the weakest language of each text goes: its removal costs least
+        q = best[open_]
+        weakest = np.where(q > 0, q, np.inf).argmin(axis=1)
+        q[np.arange(len(q)), weakest] = 0
+        q = np.where(q > 0, q + 1e-3, 0)
+        some = q.sum(axis=1) > 0
+        open_, q = open_[some], q[some]
+        if not len(open_):
             break
-        chosen, p, best = chosen[rest], q, value
-    return dict(zip(chosen.tolist(), p.tolist(), strict=True))
+        rows = np.repeat(first[open_] - np.concatenate(([0], np.cumsum(size[open_])))[:-1], size[open_]) + np.arange(size[open_].sum())
+        begin = np.concatenate(([0], np.cumsum(size[open_])))[:-1]
+        q, v = mixtures(like[rows], weight[rows], begin, q / q.sum(axis=1, keepdims=True))
+        v -= langs * fine[open_]
+        better = v >= value[open_]
+        best[open_[better]], value[open_[better]] = q[better], v[better]
+        open_ = open_[better]
+    return best
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -147,28 +164,24 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches):
         langs, table_ = shared.value
-        cache: dict[str, np.ndarray] = {}
+        table_ = np.ascontiguousarray(table_.T)
         for b in batches:
-            pred, score, shares = [], [], []
-            for text in b.column(1).to_pylist():
-                if not langs or not text or not _letter.search(text):
-                    pred.append("und"), score.append(0.0), shares.append([])
-                    continue
-                own: dict[str, int] = {}
-                for w in words(text):
-                    own[w] = own.get(w, 0) + 1
-                rows = []
-                for w in own:
-                    r = cache.get(w)
-                    if r is None:
-                        r = table_[:, _grams[w]].sum(axis=1)
-                        if len(cache) < CACHE_WORDS:
-                            cache[w] = r
-                    rows.append(r)
-                found = infer(np.array(rows), np.fromiter(own.values(), float, len(own)))
-                top = max(found, key=lambda k: (found[k], -k))
-                pred.append(langs[top]), score.append(min(1.0, found[top]))
-                shares.append([(langs[k], v) for k, v in found.items()])
+            texts = b.column(1).to_pylist()
+            bags = [Counter(words(t)) if langs and t else None for t in texts]
+            at = [k for k, bag in enumerate(bags) if bag]
+            pred, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+            if at:
+                known = {w: k for k, w in enumerate(dict.fromkeys(w for k in at for w in bags[k]))}
+                g, begin = grams(list(known))
+                rows = np.add.reduceat(table_[g], begin, axis=0)
+                size = np.array([len(bags[k]) for k in at])
+                which = np.fromiter((known[w] for k in at for w in bags[k]), np.int64, size.sum())
+                weight = np.fromiter((n for k in at for n in bags[k].values()), float, size.sum())
+                p = infer(rows[which], weight, np.concatenate(([0], np.cumsum(size)))[:-1])
+                for k, own in zip(at, p, strict=True):
+                    top = int(own.argmax())
+                    pred[k], score[k] = langs[top], min(1.0, float(own[top]))
+                    shares[k] = [(langs[j], float(own[j])) for j in np.flatnonzero(own)]
             cols = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), *(b.column(2 + k) for k in range(len(keep)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "proportions", *keep])
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stage, table
 
-THRESHOLD, LINES, WHOLE = 0.75, 12, 0.75
+THRESHOLD, LINES, WHOLE = 0.75, 12, 0.9
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 #: The usual notices of common licences.

@@ -128,7 +128,7 @@ def test_licenses(spark, odd, none):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     rows = [
         ("src/LICENSE", "Released under the MIT License.\nsome other words here and more words that no licence has"),
-        ("src/a/b.py", "code of some kind"), ("src/a/c/d.py", "code\n" + gpl + "\ncode"), ("src/a/c/e.py", "none here"),
+        ("src/a/b.py", "code of some kind"), ("src/a/c/d.py", "some code of many other kinds that stands above\n" + gpl + "\nand still more code of yet another kind below"), ("src/a/c/e.py", "none here"),
         ("src/a/COPYING", gpl), ("other/x.py", "code"), (None, "All rights reserved."), ("src/y.py", None), ("z.py", "licensed cattle and rights of way"),
     ]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "file_id long, path string, text string")
@@ -146,5 +146,5 @@ def test_license_lines(documents):
     spark = documents.sparkSession
     got = {r["doc_id"]: r for r in op9_licenses(spark, "/root/testdata/sf0.001").collect()}
     for r in documents.collect():
-        has = re.search(r"licensed under|MIT License|All rights reserved", r["text"] or "")
+        has = re.search(r"(?i)licensed under|MIT License|All rights reserved", r["text"] or "")
         assert (got[r["doc_id"]]["origin"] == "own") == bool(has), r["text"][-200:]

@@ -99,7 +99,7 @@ def _resolve(target: str, folder: str, root: str, have) -> str | None:
 def inline(paths: list[str], texts: list[str], main: str, root: str = "") -> str:
     """A main file with its includes in place; each file comes in once, what isn't found vanishes."""
     have = dict(zip(paths, texts, strict=True))
-    seen: set[str] = set()
+    seen = {main}
     cut = re.compile(r"(?<!\\)%[^\n]*")
 
     def read(path: str) -> str:

@@ -36,10 +36,11 @@ def run_chunking(md: DataFrame, txt: DataFrame, path: str, clock: int = 0) -> di
     return out
 
 
-def run_indexing(chunks: DataFrame, path: str, source: str, embed=None) -> dict[str, DataFrame]:
+def run_indexing(chunks: DataFrame, path: str, source: str, embed=None, dim: int | None = None) -> dict[str, DataFrame]:
     d = defaults(source)
+    dim = dim or d["dim"]
     spec = index.MD_SPEC if source == "md" else index.TXT_SPEC
-    vectors = index.VectorSpec(d["collection"], d["dim"], embed or plugins.hashing_embedder(d["dim"]), payload=tuple(c for c in search.PAYLOAD if c in chunks.columns))
+    vectors = index.VectorSpec(d["collection"], dim, embed or plugins.hashing_embedder(dim), payload=tuple(c for c in search.PAYLOAD if c in chunks.columns))
     return {"bm25": index.build_lexical(chunks, f"{path}/lexical", spec), "vectors": index.build_vectors(chunks, path, vectors)}
 
 

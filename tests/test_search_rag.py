@@ -85,7 +85,7 @@ def test_end_to_end(spark, tmp_path):
     services = []
     for source in ("md", "txt"):
         path = str(tmp_path / source)
-        counts = jobs.run_indexing(out[source], path, source, plugins.hashing_embedder(32))
+        counts = jobs.run_indexing(out[source], path, source, plugins.hashing_embedder(32), 32)
         assert counts["bm25"].first()["indexed"] == out[source].count()
         services.append(jobs.SearchService(spark, SearchSettings.of(source, path, expected_dim=32), plugins.hashing_embedder(32)))
     with pytest.raises(ValueError):

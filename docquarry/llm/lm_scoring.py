@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches, stage, table
 
 BASE, BITS, PROBES, MU = 1.5, 8, 5, 64.0
-SEGMENT_CHARS, FLUSH_TOKENS = 16 << 20, 1 << 21
-BROADCAST_BYTES, HOT_WORDS, CACHE_WORDS = 256 << 20, 1 << 20, 600_000
+SEGMENT_CHARS, FLUSH_TOKENS = 8 << 20, 1 << 20
+BROADCAST_BYTES, HOT_WORDS, CACHE_WORDS = 256 << 20, 1 << 20, 200_000
 _END, _START = np.uint64(0xA5A5F00D12345677), np.uint64(0x5EED0FC0FFEE1235)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S31, _S29, _S32 = np.uint64(31), np.uint64(29), np.uint64(32)

@@ -161,6 +161,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    places = {text_col: 1} | {c: k for k, c in enumerate((c for c in keep if c != text_col), 2)}
 
     def run(batches):
         langs, table_ = shared.value
@@ -182,12 +183,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     top = int(own.argmax())
                     pred[k], score[k] = langs[top], min(1.0, float(own[top]))
                     shares[k] = [(langs[j], float(own[j])) for j in np.flatnonzero(own)]
-            cols = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), *(b.column(2 + k) for k in range(len(keep)))]
+            cols = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), *(b.column(places[c]) for c in keep)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "proportions", *keep])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds[id_col]}, lang_pred string, score double, proportions map<string,double>" + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select(F.col(id_col), F.col(text_col).cast("string"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,10 +224,14 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def normalised(v: Column | str) -> Column:
     v = _c(v)
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def render_tokens(x: Column | str) -> Column:

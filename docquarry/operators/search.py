@@ -60,9 +60,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, ke
 
 
 def _dense(queries: DataFrame, vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
-    packed = queries.filter("query_vec IS NOT NULL").agg(F.collect_list(F.struct("query_id", "query_vec")).alias("qs"))  # one row of at most a block
-    near = vectors.filter(F.col(vec).isNotNull()).join(F.broadcast(packed)).select(F.col(key).alias("chunk_id"), F.col(vec).alias("_v"), F.explode("qs").alias("q"))
-    scored = near.select("q.query_id", "chunk_id", F.round(T.cosine("_v", "q.query_vec"), 6).alias("score"))
+    unit = queries.filter("query_vec IS NOT NULL").select("query_id", T.normalised("query_vec").alias("u"))
+    packed = unit.agg(F.collect_list(F.struct("query_id", "u")).alias("qs"))  # one row of at most a block
+    units = vectors.filter(F.col(vec).isNotNull()).select(F.col(key).alias("chunk_id"), T.normalised(vec).alias("_v"))
+    near = units.join(F.broadcast(packed)).select("chunk_id", "_v", F.explode("qs").alias("q"))
+    scored = near.select("q.query_id", "chunk_id", F.round(T.dot("_v", "q.u"), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.asc("chunk_id"))
 
 

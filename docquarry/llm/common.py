@@ -70,18 +70,26 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Links that a task contracts at most.
+TASK_LINKS = 500_000
+
+
+def connected_components(links: DataFrame, max_rounds: int = 64, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, component) of every node that ``links`` (a, b long) names; component is the smallest node reachable.
 
-    Each task first contracts its own links; then large-star and small-star steps alternate (Kiveris et al. 2014) until
-    nothing changes. A step is two aggregations and two joins; no step gathers a component in one task: nodes with many
+    Up to ``task_links`` links are contracted by one task, and its result is final. Of more, each task contracts its own,
+    and large-star and small-star steps alternate (Kiveris et al. 2014) until nothing changes. A step is two aggregations and two joins; no step gathers a component in one task: nodes with many
     neighbours are met by the joins, which adaptive execution splits.
     """
     ends = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = stage(ends(_contracted(links)), "cc")
-    before = mark(edges)
+    links = stage(links, "cc")
+    tasks = -(-links.count() // task_links) if task_links else 0
+    edges = stage(_contracted(links.coalesce(1)) if tasks <= 1 and task_links else ends(_contracted(links)), "cc")
+    before = None if tasks <= 1 and task_links else mark(edges)
     for _ in range(max_rounds):
+        if before is None:
+            break
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

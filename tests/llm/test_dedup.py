@@ -118,5 +118,8 @@ def test_bayes_bounds():
 
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 50), (100, 101), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    assert got == {r["node"]: r["component"] for r in connected_components(df.repartition(7), task_links=0).collect()} | {7: 0}
+    assert connected_components(df.limit(0)).count() == 0
     assert all(got[k] == 0 for k in range(41)) and got[100] == got[101] == got[50] == 50 and all(got[200 + k] == 200 for k in range(30))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, small_batches, stage, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
@@ -96,7 +96,7 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages in order, and the log-likelihood of each bucket in each of them."""
-    learnt = counts(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col)
+    learnt = stage(counts(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "language-counts")
     per_lang = learnt.groupBy("lang").agg(F.sum("n").alias("n")).count()
     if per_lang * BUCKETS * 8 > MODEL_BYTES:
         raise ValueError(f"{per_lang} languages x {BUCKETS} buckets exceed the model's bound of {MODEL_BYTES} bytes")

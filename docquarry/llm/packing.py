@@ -10,13 +10,14 @@
    sorted, and no group is gathered.
 
 Nulls: a null text is empty (its document is the end token alone), a null id is kept. Repeated rows are documents of
-their own. An empty table gives an empty result. Other columns are ignored. Texts that hold a special token's string
-are ordinary text.
+their own. An empty table gives an empty result. Other columns are ignored. The string of an added token becomes that
+token's id, as the ``tokenizers`` library does by default; no other special tokens are added.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -48,7 +49,15 @@ class _Chunks(dict):
         from tokenizers import Tokenizer
 
         vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        special = {t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+        added = json.load(open(path, encoding="utf-8"))["added_tokens"]
+        special = {t["content"] for t in added}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        #: Splits at added tokens, the longest first; None if there is none.
+        self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")").split if special else None
+        #: Added tokens that take white space with them, or stand only between other words, are left to the library.
+        self.library = None
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            self.library = Tokenizer.from_file(path)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level vocabulary spells as themselves
         spelt = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(spelt[c] for c in t): i for t, i in vocab.items() if t not in special}
@@ -70,11 +79,29 @@ class _Chunks(dict):
                 pass
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def document(self, text: str) -> bytes:
+        parts = self.split(text) if self.split else [text]
+        if len(parts) == 1:
+            return self.ids(text)
+        if self.library:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self.added[x] if k % 2 else self.ids(x) for k, x in enumerate(parts))
 
-def token_bytes(path: str, text: str | None) -> bytes:
+
+def _chunks(path: str) -> _Chunks:
     if path not in _tokenizers:
         _tokenizers[path] = _Chunks(path)
-    return _tokenizers[path].ids(text or "")
+    return _tokenizers[path]
+
+
+def token_bytes(path: str, text: str | None) -> bytes:
+    """Ids of ordinary text: what lies between added tokens."""
+    return _chunks(path).ids(text or "")
+
+
+def document_bytes(path: str, text: str | None) -> bytes:
+    """Ids of a document, its added tokens included."""
+    return _chunks(path).document(text or "")
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -96,7 +123,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for b in batches:
             rows, at, bytes_ = [], [], []
             for k, text in enumerate(b.column(1)):
-                ids = token_bytes(tokenizer, text.as_py()) + end
+                ids = document_bytes(tokenizer, text.as_py()) + end
                 for p, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + n)]
                     rows.append((p, start, n, zlib.crc32(own), part, seen[n]))

@@ -85,6 +85,22 @@ def test_ids_equal_the_library(texts):
         assert np.frombuffer(packing.token_bytes(packing.default_tokenizer(), text), "<u4").tolist() == reference_ids(text), text
 
 
+def test_added_tokens_have_their_ids(spark):
+    """With the library's default settings the string of an added token is that token."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"foo {end} bar", end, end * 3, f" {end}\n{end} ", f"a{end}b", f"<|{end}|>", f"a b  {end}  c 's", f"{end[:-1]} {end[1:]}", "x " * 1500 + end + " y" * 1500, *TRICKY]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [21943, 220, 50256, 2318]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.default_tokenizer(), with_ids=True).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert [got[k] for k in range(len(texts))] == [ids + [2] for ids in want]
+
+
 def check_pack(df, capacity=1024):
     rows = packing.pack(df, packing.default_tokenizer(), capacity=capacity, with_ids=True).collect()
     docs, bins = {}, {}

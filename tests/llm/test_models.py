@@ -140,6 +140,22 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(none, "doc_id", "source", "text").count() == 0
 
 
+def test_license_versions_and_full_texts():
+    """Similar licences are told apart, in notices across lines and in full texts; a notice alone is no whole text."""
+    found = licenses.Templates(1000, {"the": 300, "of": 300}, licenses.THRESHOLD)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            score, got, whole = found.scan(text)
+            assert got == name and score >= licenses.THRESHOLD, text[:200]
+            assert (whole >= licenses.WHOLE) == (text == licenses.FULL.get(name))
+            words = text.split()
+            split = "\n".join("# " + " ".join(words[k : k + 6]) for k in range(0, len(words), 6))
+            assert found.scan(f"some other code stands above\n{split}\nand yet other code below")[1] == name
+    assert {"GPL-2.0", "AGPL-3.0", "LGPL-2.1", "CC-BY-SA-4.0", "BSD-2-Clause", "ISC"} <= set(licenses.TEMPLATES)
+    assert found.scan("Copyright (c) 2020 A. All rights reserved.\n" + licenses.FULL["BSD-3-Clause"])[1] == "BSD-3-Clause"
+    assert found.scan("This work is licensed under the GNU General Public License, version 9.")[1] is None
+
+
 def test_license_lines(documents):
     from docquarry.llm.licenses import op9_licenses
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,25 +13,66 @@ from pyspark.sql import functions as F
 #: What separates words, and what words are, in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A Python worker gets a batch of at most so many rows and about so many bytes: whole texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one, set for the session, where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode (tests), else an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bounds of Arrow batches for what runs inside; the session's own settings come back."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+_open: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str, rows: int = BATCH_ROWS, frame: int = -1) -> DataFrame:
     """Write ``df`` under the shared folder and read it back: lineage is cut, any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if len(_open) >= -frame:
+        _open[frame].append(path)
+    with bounded_batches(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def result(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Stage what leaves a ``scratch``: it belongs to the scratch around it, or to the caller."""
+    return stage(df, name, rows, frame=-2)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, also after an error."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,9 +121,14 @@ def connected_components(links: DataFrame, max_rounds: int = 64, task_links: int
     """(node, component) of every node that ``links`` (a, b long) names; component is the smallest node reachable.
 
     Up to ``task_links`` links are contracted by one task, and its result is final. Of more, each task contracts its own,
-    and large-star and small-star steps alternate (Kiveris et al. 2014) until nothing changes. A step is two aggregations and two joins; no step gathers a component in one task: nodes with many
-    neighbours are met by the joins, which adaptive execution splits.
+    and large-star and small-star steps alternate (Kiveris et al. 2014) until nothing changes. A step is two aggregations and two joins; no step gathers a
+    component in one task: nodes with many neighbours are met by the joins, which adaptive execution splits.
     """
+    with scratch(links.sparkSession):
+        return result(_settled(links, max_rounds, task_links), "components")
+
+
+def _settled(links: DataFrame, max_rounds: int, task_links: int) -> DataFrame:
     ends = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     links = stage(links, "cc")
@@ -105,8 +153,3 @@ def connected_components(links: DataFrame, max_rounds: int = 64, task_links: int
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most ``rows`` rows at a time: whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

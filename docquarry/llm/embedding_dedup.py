@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, stage, table
+from .common import connected_components, stage, table
 
 COSINE, MISS, SEED = 0.95, 1e-6, 7
 
@@ -96,7 +96,6 @@ def _linked(pairs: DataFrame, classes: DataFrame, kind: str, cosine: float) -> D
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    small_batches(df.sparkSession, 4000)
     vectors, kind = _vectors(df, id_col, vec_col)
     every = stage(vectors, "vec-all")
     classes = stage(every.filter("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "vec-classes")

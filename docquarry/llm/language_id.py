@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, stage, table
+from .common import held_out, result, scratch, stage, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
@@ -63,7 +63,6 @@ def words(text: str | None) -> list[str]:
 
 def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, bucket, n) over all rows of ``docs``; each task sends one row for each language and bucket at most."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         seen: dict[str, Counter] = {}
@@ -96,6 +95,11 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages in order, and the log-likelihood of each bucket in each of them."""
+    with scratch(docs.sparkSession):
+        return _trained(docs, text_col, lang_col)
+
+
+def _trained(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     learnt = stage(counts(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "language-counts")
     per_lang = learnt.groupBy("lang").agg(F.sum("n").alias("n")).count()
     if per_lang * BUCKETS * 8 > MODEL_BYTES:
@@ -159,7 +163,6 @@ def infer(loglike: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndar
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """doc_id, lang_pred, score, proportions (map of the chosen languages), and the columns ``keep``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     places = {text_col: 1} | {c: k for k, c in enumerate((c for c in keep if c != text_col), 2)}
 
@@ -188,7 +191,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds[id_col]}, lang_pred string, score double, proportions map<string,double>" + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(run, schema)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(run, schema)
+    with scratch(spark):
+        return result(found, "languages")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

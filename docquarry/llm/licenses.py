@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table
+from .common import result, scratch, stage, table
 
 THRESHOLD, WHOLE, LONG = 0.75, 0.9, 80
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
@@ -91,7 +91,6 @@ def terms(text: str) -> list[str]:
 
 def document_frequencies(files: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """Number of files, and how many of them have each template term (as many rows as there are such terms)."""
-    small_batches(files.sparkSession)
     wanted = frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
 
     def run(batches):
@@ -103,7 +102,9 @@ def document_frequencies(files: DataFrame, text_col: str) -> tuple[int, dict[str
         rows = [("", n), *df.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "n"])
 
-    got = {r["term"]: r["n"] for r in files.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    with scratch(files.sparkSession):
+        found = stage(files.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "license-terms")
+        got = {r["term"]: r["n"] for r in found.collect()}
     return got.pop("", 0), got
 
 
@@ -200,6 +201,11 @@ class Templates:
 
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file: file_id, path, license, score, origin (own, inherited, none), license_path."""
+    with scratch(files.sparkSession):
+        return result(_scanned(files, id_col, path_col, text_col, threshold), "licenses")
+
+
+def _scanned(files: DataFrame, id_col: str, path_col: str, text_col: str, threshold: float) -> DataFrame:
     n, df = document_frequencies(files, text_col)
     templates = Templates(n, df, threshold)
     kind = files.schema[id_col].dataType.simpleString()
@@ -211,7 +217,6 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
             cols = [b.column(0), b.column(1), pa.array([g[1] for g in own], pa.string()), pa.array([g[0] for g in own], pa.float64()), pa.array([g[2] >= WHOLE for g in own], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["file_id", "path", "license", "score", "whole"])
 
-    small_batches(files.sparkSession)
     scanned = files.select(F.col(id_col), F.col(path_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, f"file_id {kind}, path string, license string, score double, whole boolean")
     scanned = stage(scanned, "license-scan")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

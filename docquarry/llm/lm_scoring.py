@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, stage, table
+from .common import held_out, stage, table
 
 BASE, BITS, PROBES, MU = 1.5, 8, 5, 64.0
 SEGMENT_CHARS, FLUSH_TOKENS = 8 << 20, 1 << 20
@@ -123,7 +123,6 @@ def probe(h: np.ndarray, bits: np.ndarray, start: np.ndarray, data: np.ndarray)
 
 def count_ngrams(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
     """(segment, bits, filter, words, counts, n, v): each segment's filter and its part of the exact vocabulary."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         held, n = [], 0
@@ -266,7 +265,6 @@ def _scores_by_owners(asked: DataFrame, model: Model, least: int) -> DataFrame:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     least, words, counts = model.hot(hot_words)
     d, starts = model.denominator, model.docs
     by_broadcast = model.filter_bytes <= broadcast_bytes

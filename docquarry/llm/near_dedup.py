@@ -1,50 +1,54 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
-1. Python workers hash the words of whole texts to shingle sets; equal sets (by 128-bit fingerprint) become one class.
-   Each set gets ``BANDS`` keys of ``ROWS`` minimum hashes and, from other hash functions, a sketch of 128 bytes.
-2. Classes that share a band key form a bucket. Nobody lists a bucket's pairs: first each member meets the bucket's
-   smallest member. In a bucket that then spans several components, one member of the largest component a round meets
-   everyone outside it, for ``ABSORB`` rounds; that joins most of a group of near copies. After that (at once in small
-   buckets) the members outside meet all that aren't of their component, ``PIVOTS`` of them a round, until every two
-   members of a bucket have met or are connected. Sets whose sizes alone rule the threshold out needn't meet.
-3. A pair that meets is compared on its sketch, 32 hashes at a time. After n hashes of which m agree, the similarity has
+1. Python workers hash the words of whole texts to shingle sets; equal sets (by 128-bit fingerprint) become one class with
+   a number of its own. Each set gets ``BANDS`` keys of ``ROWS`` minimum hashes and, from other hash functions, a sketch of
+   128 bytes.
+2. Classes that share a band key form a bucket. First each member meets the bucket's member of smallest id: as many pairs
+   as members. What survives is verified, at first one pair for each class, then those whose ends are still apart.
+3. Buckets that still span several components are cut into blocks of about ``BLOCK`` members, and block meets block inside
+   a worker: no pair ever becomes a row. A first pass over sketches alone returns the members that have a survivor in
+   another component; for those the texts come along in a second pass, which verifies the survivors and joins components
+   as it goes. A pair of blocks returns a forest, so fewer links than members. After it every two members of a bucket
+   have met or are connected: there are no further rounds.
+4. A pair that meets is compared on its sketch, 32 hashes at a time. After n hashes of which m agree, the similarity has
    the posterior Beta(m + 1, n - m + 1); the pair is dropped once P(similarity >= threshold) < ``MISS``. (Chance
-   agreement of one-byte hashes only raises m, so it never drops more.)
-4. Survivors are verified on full sets: in the first round one pair for each document, later those survivors whose
-   ends still lie in different components, since other links can't change a component.
-5. Components by large-star / small-star.
+   agreement of one-byte hashes only raises m, so it never drops more.) Sets whose sizes alone rule the threshold out
+   are not compared.
+5. Survivors are verified on full sets, and components come from large-star / small-star.
 
-A pair of similarity exactly 0.8 shares no band with probability (1 - 0.8^8)^64 = 8e-6, less above.
+A pair of similarity exactly 0.8 shares no band with probability (1 - 0.8^8)^64 = 8e-6, less above. Shingles are 64-bit
+hashes of their words: full sets of n shingles differ from the sets of words themselves with probability below n^2 / 2^64.
 
 Nulls: text null, empty or without words: no shingles, own component, kept. A null id links with nothing, its component
-is null, and the row is kept. Rows that repeat an id are one document. Empty tables give empty results. Other columns
-are ignored.
+is null, and the row is kept. Rows that repeat an id are documents of their own, whose links hold for the id's smallest
+component. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, stage, table
+from .common import connected_components, result, scratch, stage, table
 
 WIDTH, THRESHOLD = 5, 80  # words a shingle, similarity in percent
-BANDS, ROWS, SKETCH, BATCH, MISS, PIVOTS, ABSORB, SMALL = 64, 8, 128, 32, 1e-6, 256, 3, 4096
+BANDS, ROWS, SKETCH, BATCH, MISS = 64, 8, 128, 32, 1e-6
+#: Members, and shingles, of a block; pairs with one hub that one task verifies.
+BLOCK, BLOCK_SHINGLES, HUB = 512, 1 << 19, 4096
 #: Ids are broadcast to the document scan up to this many (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 600_000
 
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 1 << 32, BANDS * ROWS + SKETCH, np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS + SKETCH, np.uint32)[:, None]
+_A = (_rng.integers(0, 1 << 32, BANDS * ROWS + SKETCH, np.uint32) | np.uint32(1))
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS + SKETCH, np.uint32)
 _K = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, BANDS, np.uint64)
 
@@ -81,8 +85,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def minima(s: np.ndarray) -> np.ndarray:
     """The minimum of every hash function over the set."""
-    h = (s >> np.uint64(32)).astype(np.uint32)
-    return np.minimum.reduce([(_A * h[k : k + 2048] + _B).min(axis=1) for k in range(0, len(h), 2048)])
+    h, low = (s >> np.uint64(32)).astype(np.uint32)[:, None], np.full(_A.size, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(h), 64):  # a block of hashes stays in the processor's cache
+        x = h[k : k + 64] * _A
+        x += _B
+        np.minimum(low, x.min(axis=0), out=low)
+    return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -103,7 +111,6 @@ def least_agreement(n: int, threshold: float, miss: float = MISS) -> int:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, n_shingles, fp, bands, sketch); fp, bands and sketch are null where there are no shingles."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -125,107 +132,227 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _survivors(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _bounds(threshold: float) -> list[tuple[int, int]]:
+    return [(n, least_agreement(n, threshold)) for n in range(BATCH, SKETCH + 1, BATCH)]
+
+
+def _alive(x: np.ndarray, y: np.ndarray, bounds) -> tuple[np.ndarray, np.ndarray]:
+    """(positions that the Bayesian test keeps, their agreements); x and y are sketches, row by row or one against many."""
+    alive, agree = np.arange(len(y)), np.zeros(len(y), np.int64)
+    for n, least in bounds:
+        own = x[n - BATCH : n] if x.ndim == 1 else x[alive, n - BATCH : n]
+        agree = agree + (own == y[alive, n - BATCH : n]).sum(axis=1)
+        keep = agree >= least
+        alive, agree = alive[keep], agree[keep]
+        if not len(alive):
+            break
+    return alive, agree
+
+
+def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, agree) that the Bayesian test keeps."""
-    sk = reps.select("rep", "sketch")
-    both = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    bounds = [(n, least_agreement(n, threshold)) for n in range(BATCH, SKETCH + 1, BATCH)]
+    x, y = (classes.select(F.col("cls").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    bounds = _bounds(threshold)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-            alive, agree = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for n, least in bounds:
-                agree[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
-                alive = alive[agree[alive] >= least]
-            at = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(agree[alive])], names=["a", "b", "agree"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, agree long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    ids = stage(ids, "near-ids")
-    if ids.count() <= BROADCAST_IDS:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+                alive, agree = _alive(p, q, bounds)
+                at = pa.array(alive)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(agree)], names=["a", "b", "agree"])
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree long")
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(cls, z): the compressed text of one document of each class of ``wanted`` (cls)."""
+    own = classes.join(wanted.distinct(), "cls", "left_semi").select("cls", "fp", "first")
+    own = stage(own, "near-wanted")
+    ids = own.select(F.col("first").alias("_id")).distinct()
+    if own.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            fp, z = [], []
+            for text in b.column(0):
+                text = text.as_py()
+                s = shingles(text, width)
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                z.append(zip_.compress(text.encode()) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(z, pa.binary())], names=["fp", "z"])
+
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id", "left_semi")
-    texts = stage(texts, "near-texts")
-    both = pairs.select("a", "b").join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("x")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("y")), "b")
+    found = texts.select("_text").mapInArrow(run, "fp binary, z binary").join(own.select("cls", "fp"), "fp")
+    return stage(found.groupBy("cls").agg(F.min("z").alias("z")), "near-texts")  # the same text may come again under its id
+
+
+def _unpacked(z: bytes, width: int) -> np.ndarray:
+    return shingles(zstandard.ZstdDecompressor().decompress(z).decode(), width)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The text of ``a`` comes once for at most ``HUB`` of its pairs, before them in the order of the sort.
+    """
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / HUB).cast("int").alias("k"))
+    leaves = pairs.select("a", "b").join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), "b")
+    leaves = leaves.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "z")
+    heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")).join(texts.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "z")
+    dealt = heads.unionByName(leaves).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
+        hub = None
         for batch in batches:
-            keep, last, s = [], None, None
-            for k in range(batch.num_rows):
-                x, y = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-                if x != last:
-                    last, s = x, shingles(x, width)
-                t = shingles(y, width)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
+            keep = []
+            for k, (b, z) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                own = _unpacked(z, width)
+                if b is None:
+                    hub = own
+                elif _similar(hub, own, percent):
                     keep.append(k)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
 
-    return both.mapInArrow(run, "a long, b long")
+_MEMBER = ["cls", "n", "c", "sketch"]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
+def _blocks(members: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, block, blocks, m): the members (key and ``fields``) of each bucket in blocks of about BLOCK members and BLOCK_SHINGLES shingles."""
+    size = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    return stage(placed.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct(*fields)).alias("m")), "near-blocks")
+
+
+def _meetings(blocks: DataFrame) -> DataFrame:
+    """(key, m, other): every block with itself (other is null) and with every later block of its bucket."""
+    several = blocks.filter("blocks > 1")
+    left = several.select("key", "m", F.explode(F.expr("CASE WHEN block + 1 < blocks THEN sequence(block + 1, blocks - 1) ELSE array() END")).alias("block"))
+    return blocks.select("key", "m", F.lit(None).cast(blocks.schema["m"].dataType).alias("other")).unionByName(left.join(several.select("key", "block", F.col("m").alias("other")), ["key", "block"]).select("key", "m", "other"))
+
+
+class _Met:
+    """The members of one meeting: candidates are pairs of different components whose sizes and sketches leave the threshold possible."""
+
+    def __init__(self, m: list[dict], other: list[dict] | None, percent: int):
+        self.rows = m + (other or [])
+        self.cls, self.n, comp = (np.array([r[k] for r in self.rows], np.int64) for k in ("cls", "n", "c"))
+        self.c = np.unique(comp, return_inverse=True)[1]
+        self.sketch = np.frombuffer(b"".join(r["sketch"] for r in self.rows), np.uint8).reshape(-1, SKETCH)
+        self.left, self.cross, self.percent = len(m), other is not None, percent
+        self.bounds = _bounds(percent / 100)
+
+    def candidates(self):
+        """(i, positions) by i; reads the components anew for each i."""
+        for i in range(self.left if self.cross else len(self.rows) - 1):
+            begin = self.left if self.cross else i + 1
+            n = self.n[begin:]
+            j = begin + np.flatnonzero((self.c[begin:] != self.c[i]) & (100 * n >= self.percent * self.n[i]) & (100 * self.n[i] >= self.percent * n))
+            if len(j):
+                j = j[_alive(self.sketch[i], self.sketch[j], self.bounds)[0]]
+                if len(j):
+                    yield i, j
+
+
+def _undecided(blocks: DataFrame, percent: int) -> DataFrame:
+    """(key, cls): members with a surviving candidate in another component."""
+
+    def run(batches):
+        for b in batches:
+            for key, m, other in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                met = _Met(m, other, percent)
+                some = np.zeros(len(met.rows), bool)
+                for i, j in met.candidates():
+                    some[i] = some[j] = True
+                own = met.cls[some]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own)], names=["key", "cls"])
+
+    return _meetings(blocks).mapInArrow(run, "key long, cls long").distinct()
+
+
+def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what similar members connect: a forest for each meeting."""
+
+    def run(batches):
+        for b in batches:
+            for m, other in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                met = _Met(m, other, percent)
+                sets = [_unpacked(r["z"], width) for r in met.rows]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                mark, links = np.zeros(len(ids), bool), []
+                for i, j in met.candidates():
+                    mark[ids[ends[i] : ends[i + 1]]] = True
+                    for k in j.tolist():
+                        if met.c[k] != met.c[i]:
+                            common = int(mark[ids[ends[k] : ends[k + 1]]].sum())
+                            if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                                links.append((met.cls[i], met.cls[k]))
+                                met.c[met.c == met.c[k]] = met.c[i]
+                    mark[ids[ends[i] : ends[i + 1]]] = False
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return _meetings(blocks).mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    with scratch(docs.sparkSession):
+        return result(_near(docs, id_col, text_col, width, percent), "near-duplicates")
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     every = stage(sketches(docs, id_col, text_col, width), "near-sketches")
     first = every.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s"))
-    reps = stage(first.select("fp", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch"), "near-classes")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first")
-    members = stage(rows.join(buckets, "key"), "near-buckets")
+    # the number of a class is written with it, so it stays what it is
+    classes = stage(first.select(F.monotonically_increasing_id().alias("cls"), "fp", F.col("s.doc_id").alias("first"), F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch"), "near-classes")
+    rows = classes.select("cls", "n", "first", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min(F.struct("first", "cls", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stage(rows.drop("first").join(buckets, "key"), "near-buckets")
+
     near = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    ratio = lambda x, y: near(x, y) & near(y, x)
-
-    met = members.filter(F.col("rep") != F.col("first.rep")).withColumn("fn", F.col("first.n")).filter(ratio("n", "fn"))
-    pairs = stage(met.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    met, pool, links, retired = pairs, None, None, None
-    components = stage(reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), "near-none")
-    for turn_no in itertools.count():
-        found = _survivors(pairs, reps, percent / 100)
-        if pool is None:
-            pool = stage(found, "near-survivors")
-            chosen = stage(pool.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select("s.a", "b"), "near-chosen")
-            pool = pool.join(chosen, ["a", "b"], "left_anti")
-        else:
-            here, there = (components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            apart = pool.unionByName(found).join(here, "a", "left").join(there, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            chosen, pool = stage(apart.select("a", "b"), "near-chosen"), pool.limit(0)
-        if not chosen.isEmpty():
-            new = stage(_verified(chosen, docs, id_col, text_col, width, percent), "near-links")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                components = stage(connected_components(links), "near-components")
-        lab = members.select("key", "rep", "n").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        per = lab.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")).filter("cs > 1")
-        open_ = lab.join(per.select("key", F.col("top.c").alias("main"), "m", F.col("top.k").alias("inside")), "key")
-        if retired is not None:
-            open_ = open_.join(retired.withColumn("done", F.lit(True)), ["key", "rep"], "left")
-        else:
-            open_ = open_.withColumn("done", F.lit(None).cast("boolean"))
-        open_ = stage(open_, "near-open")
-        inner = F.lit(turn_no < ABSORB) & (F.col("inside") > 1) & ((F.col("m") - F.col("inside")) * F.col("m") > SMALL)
-        side = open_.filter(F.col("done").isNull() & (inner == (F.col("c") == F.col("main"))))
-        nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
-        turn = side.withColumn("nth", nth).filter(F.col("nth") <= F.when(inner, 1).otherwise(pivots))
-        turn = stage(turn.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "near-turn")
-        if turn.isEmpty() and (turn_no >= ABSORB or open_.filter("done IS NULL AND c <> main").isEmpty()):
-            break
-        fresh = turn.join(open_, "key").filter(F.col("c") != F.col("pc")).filter(ratio("n", "pn")).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        pairs = stage(fresh.join(met, ["a", "b"], "left_anti"), "near-pairs")
-        met = met.unionByName(pairs)
-        done = turn.select("key", F.col("p").alias("rep"))
-        retired = done if retired is None else retired.unionByName(done)
-    out = every.select("doc_id", "n_shingles", "fp").join(reps.select("fp", "rep"), "fp", "left")
-    out = out.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    pairs = members.filter(F.col("cls") != F.col("hub.cls")).filter(near("n", "hub.n") & near("hub.n", "n")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    pool = stage(_survivors(pairs, classes, percent / 100), "near-survivors")
+    texts = _texts(pool.select(F.col("a").alias("cls")).union(pool.select("b")), classes, docs, id_col, text_col, width)
+    best = pool.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select("s.a", "b")
+    links = stage(_verified(best, texts, width, percent), "near-links")
+    components = connected_components(links)
+    here, there = (components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    apart = pool.join(here, "a", "left").join(there, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = stage(apart.join(best, ["a", "b"], "left_anti"), "near-apart")
+    if not apart.isEmpty():
+        links = links.unionByName(stage(_verified(apart, texts, width, percent), "near-links"))
+        components = connected_components(links)
+
+    named = members.filter("size > 2").select("key", "cls", "n").join(components.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("c"))
+    named = stage(named, "near-named")
+    several = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
+    open_ = named.join(several, "key", "left_semi").join(classes.select("cls", "sketch"), "cls")
+    undecided = stage(_undecided(_blocks(open_, _MEMBER), percent), "near-undecided")
+    if not undecided.isEmpty():
+        texts = _texts(undecided.select("cls"), classes, docs, id_col, text_col, width)
+        full = named.join(undecided, ["key", "cls"]).join(classes.select("cls", "sketch"), "cls").join(texts, "cls")
+        links = links.unionByName(stage(_joined(_blocks(full, [*_MEMBER, "z"]), width, percent), "near-links"))
+        components = connected_components(links)
+
+    labels = classes.select("cls", "fp", "first").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = labels.join(least, "component").select("fp", "component_id")
+    out = every.select("doc_id", "n_shingles", "fp").join(found, "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

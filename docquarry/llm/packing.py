@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table
+from .common import stage, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker's cache holds at most; others are tokenised each time.
@@ -113,7 +113,6 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth[, ids]); nth counts pieces of this length in task ``part``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    small_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):

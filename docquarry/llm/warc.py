@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import bounded_batches, result, scratch, shared_dir, table
 
 REVISIT_BYTES, LEVEL = 1000, 3
 DATE = "2024-01-01T00:00:00Z"
@@ -36,7 +36,6 @@ def _payload(html_col: str) -> Column:
 
 def _compressed(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(digest, size, zbytes, page_id): equal bytes give equal compressed bytes."""
-    small_batches(pages.sparkSession, 500)
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
@@ -51,7 +50,8 @@ def _compressed(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
     spark = pages.sparkSession
     stored = _compressed(pages, id_col, html_col).groupBy("digest", "size", "zbytes").agg(F.max("page_id").alias("holder"))
-    stored.write.parquet(f"{path}/payloads")
+    with bounded_batches(spark, 500):
+        stored.write.parquet(f"{path}/payloads")
     store = spark.read.parquet(f"{path}/payloads").select("digest", "holder", "size")
     if not store.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         raise ValueError("two payloads have one digest")
@@ -82,7 +82,6 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     The record's bytes are warc_head + http_head + (payload unless it is a revisit) + CRLF CRLF.
     """
-    small_batches(spark, 500)
     heads, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
 
     def run(batches):
@@ -120,7 +119,8 @@ def export_warc(records: DataFrame, path: str, records_per_file: int = 10_000) -
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docquarry/warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark):
+        return result(read_archive(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-read", 500)
 
 
 OP7_SQL = """

@@ -1,7 +1,10 @@
 import hashlib
 import itertools
+import random
 import re
 
+import pytest
+
 from docquarry.llm import exact_dedup, near_dedup
 from docquarry.llm.common import connected_components
 
@@ -103,12 +106,35 @@ def test_near_odd(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_near_rounds(spark):
-    """A chain of edits: neighbours link, ends don't; and one pivot a round, so that many rounds are needed."""
+def test_near_chain(spark):
+    """A chain of edits: neighbours link, ends don't; and texts that share much and link with nothing."""
     words = [f"w{k}" for k in range(200)]
     rows = [(10 + k, " ".join(words[3 * k :] + [f"v{j}" for j in range(3 * k)])) for k in range(5)]
     rows += [(100 + k, " ".join(words[:120] + [f"u{k}x{j}" for j in range(40)])) for k in range(4)]
-    check_near(spark.createDataFrame(rows, "doc_id long, text string"), width=2, pivots=1)
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+
+
+@pytest.mark.parametrize("block", [512, 24])
+def test_near_copies_around_the_threshold(spark, monkeypatch, block):
+    """Three hundred variants of one text whose pairs lie on both sides of 0.8, in one block and in many that meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(240)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        for at in rng.sample(range(240), rng.choice((9, 12, 14))):
+            own[at] = f"x{k}y{at}"
+        rows.append((500 - k, " ".join(own)))
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+
+
+def test_near_ids_that_repeat(spark):
+    """Rows of one id with different texts are documents of their own; the component is the smallest id reached."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a + ["z"])), (3, " ".join(b + ["z"])), (9, "alone here")]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 56, 5, True), (5, 56, 3, False), (7, 57, 5, False), (3, 57, 3, True), (9, 1, 9, True)])
 
 
 def test_bayes_bounds():

@@ -40,8 +40,8 @@ from .common import connected_components, result, scratch, stage, table
 
 WIDTH, THRESHOLD = 5, 80  # words a shingle, similarity in percent
 BANDS, ROWS, SKETCH, BATCH, MISS = 64, 8, 128, 32, 1e-6
-#: Members, and shingles, of a block; pairs with one hub that one task verifies.
-BLOCK, BLOCK_SHINGLES, HUB = 512, 1 << 19, 4096
+#: Members, and shingles, of a block; pairs with one hub that one task verifies; meetings in an Arrow batch.
+BLOCK, BLOCK_SHINGLES, HUB, BATCH_BLOCKS = 512, 1 << 19, 4096, 32
 #: Ids are broadcast to the document scan up to this many (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 600_000
@@ -341,11 +341,11 @@ def _near(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     named = stage(named, "near-named")
     several = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
     open_ = named.join(several, "key", "left_semi").join(classes.select("cls", "sketch"), "cls")
-    undecided = stage(_undecided(_blocks(open_, _MEMBER), percent), "near-undecided")
+    undecided = stage(_undecided(_blocks(open_, _MEMBER), percent), "near-undecided", BATCH_BLOCKS)
     if not undecided.isEmpty():
         texts = _texts(undecided.select("cls"), classes, docs, id_col, text_col, width)
         full = named.join(undecided, ["key", "cls"]).join(classes.select("cls", "sketch"), "cls").join(texts, "cls")
-        links = links.unionByName(stage(_joined(_blocks(full, [*_MEMBER, "z"]), width, percent), "near-links"))
+        links = links.unionByName(stage(_joined(_blocks(full, [*_MEMBER, "z"]), width, percent), "near-links", BATCH_BLOCKS))
         components = connected_components(links)
 
     labels = classes.select("cls", "fp", "first").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -5,11 +5,10 @@
    128 bytes.
 2. Classes that share a band key form a bucket. First each member meets the bucket's member of smallest id: as many pairs
    as members. What survives is verified, at first one pair for each class, then those whose ends are still apart.
-3. Buckets that still span several components are cut into blocks of about ``BLOCK`` members, and block meets block inside
-   a worker: no pair ever becomes a row. A first pass over sketches alone returns the members that have a survivor in
-   another component; for those the texts come along in a second pass, which verifies the survivors and joins components
-   as it goes. A pair of blocks returns a forest, so fewer links than members. After it every two members of a bucket
-   have met or are connected: there are no further rounds.
+3. Buckets that still span several components are cut into blocks of about ``BLOCK`` members, which carry sketches and
+   texts. Block meets block inside a worker, which verifies the survivors of different components and joins components as
+   it goes: no pair ever becomes a row, and a meeting returns a forest, so fewer links than members. After it every two
+   members of a bucket have met or are connected: there are no further rounds.
 4. A pair that meets is compared on its sketch, 32 hashes at a time. After n hashes of which m agree, the similarity has
    the posterior Beta(m + 1, n - m + 1); the pair is dropped once P(similarity >= threshold) < ``MISS``. (Chance
    agreement of one-byte hashes only raises m, so it never drops more.) Sets whose sizes alone rule the threshold out
@@ -225,14 +224,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-_MEMBER = ["cls", "n", "c", "sketch"]
-
-
-def _blocks(members: DataFrame, fields: list[str]) -> DataFrame:
-    """(key, block, blocks, m): the members (key and ``fields``) of each bucket in blocks of about BLOCK members and BLOCK_SHINGLES shingles."""
+def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, block, blocks, m): the members (key, cls, n, c) of each bucket in blocks of about BLOCK members and BLOCK_SHINGLES shingles."""
     size = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
-    return stage(placed.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct(*fields)).alias("m")), "near-blocks")
+    full = placed.join(classes.select("cls", "sketch").join(texts, "cls"), "cls")  # dealt by class now, so that the blocks of one bucket go to different tasks
+    return stage(full.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("cls", "n", "c", "sketch", "z")).alias("m")), "near-blocks")
 
 
 def _meetings(blocks: DataFrame) -> DataFrame:
@@ -265,43 +262,24 @@ class _Met:
                     yield i, j
 
 
-def _undecided(blocks: DataFrame, percent: int) -> DataFrame:
-    """(key, cls): members with a surviving candidate in another component."""
-
-    def run(batches):
-        for b in batches:
-            for key, m, other in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                met = _Met(m, other, percent)
-                some = np.zeros(len(met.rows), bool)
-                for i, j in met.candidates():
-                    some[i] = some[j] = True
-                own = met.cls[some]
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own)], names=["key", "cls"])
-
-    return _meetings(blocks).mapInArrow(run, "key long, cls long").distinct()
-
-
 def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what similar members connect: a forest for each meeting."""
+    """Links (a, b) that connect what similar members connect: a forest for each meeting. Texts are unpacked when a pair survives."""
 
     def run(batches):
         for b in batches:
             for m, other in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                met = _Met(m, other, percent)
-                sets = [_unpacked(r["z"], width) for r in met.rows]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-                ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-                mark, links = np.zeros(len(ids), bool), []
+                met, sets, links = _Met(m, other, percent), {}, []
+
+                def own(k, met=met, sets=sets):
+                    if k not in sets:
+                        sets[k] = _unpacked(met.rows[k]["z"], width)
+                    return sets[k]
+
                 for i, j in met.candidates():
-                    mark[ids[ends[i] : ends[i + 1]]] = True
                     for k in j.tolist():
-                        if met.c[k] != met.c[i]:
-                            common = int(mark[ids[ends[k] : ends[k + 1]]].sum())
-                            if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
-                                links.append((met.cls[i], met.cls[k]))
-                                met.c[met.c == met.c[k]] = met.c[i]
-                    mark[ids[ends[i] : ends[i + 1]]] = False
+                        if met.c[k] != met.c[i] and _similar(own(i), own(k), percent):
+                            links.append((met.cls[i], met.cls[k]))
+                            met.c[met.c == met.c[k]] = met.c[i]
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
 
@@ -340,12 +318,10 @@ def _near(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     named = members.filter("size > 2").select("key", "cls", "n").join(components.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("c"))
     named = stage(named, "near-named")
     several = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
-    open_ = named.join(several, "key", "left_semi").join(classes.select("cls", "sketch"), "cls")
-    undecided = stage(_undecided(_blocks(open_, _MEMBER), percent), "near-undecided", BATCH_BLOCKS)
-    if not undecided.isEmpty():
-        texts = _texts(undecided.select("cls"), classes, docs, id_col, text_col, width)
-        full = named.join(undecided, ["key", "cls"]).join(classes.select("cls", "sketch"), "cls").join(texts, "cls")
-        links = links.unionByName(stage(_joined(_blocks(full, [*_MEMBER, "z"]), width, percent), "near-links", BATCH_BLOCKS))
+    open_ = stage(named.join(several, "key", "left_semi"), "near-open")
+    if not open_.isEmpty():
+        texts = _texts(open_.select("cls"), classes, docs, id_col, text_col, width)
+        links = links.unionByName(stage(_joined(_blocks(open_, classes, texts), width, percent), "near-links", BATCH_BLOCKS))
         components = connected_components(links)
 
     labels = classes.select("cls", "fp", "first").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -5,9 +5,11 @@ language, hashed into ``BUCKETS`` columns; the model is one smoothed log-likelih
 is languages x BUCKETS, checked against ``MODEL_BYTES`` before it is broadcast.
 
 Prediction takes a text as a mixture of languages: each word is drawn from one of them, with the likelihood of its
-n-grams. Expectation-maximisation estimates the proportions. The language set starts with all languages; the one whose
-removal raises the penalised likelihood log L - (languages / 2) log(words) most is removed, until none does. The
-language of the greatest proportion is predicted, the proportion is the score.
+n-grams. Expectation-maximisation estimates the proportions, of each text until its own move less than ``MOVE``, so that a
+result doesn't depend on what else is in a batch. The language set starts with all languages. Languages are taken out in
+the order of their proportions, the smallest first (a linear number of fits, where trying every removal takes a quadratic
+one), as long as the penalised likelihood log L - (languages / 2) log(words) doesn't fall. The language of the greatest
+proportion is predicted, the proportion is the score.
 
 Nulls: a text that is null, empty or without a letter is ``und`` with score 0. Rows without a label aren't learnt from.
 Repeated rows count each time. If nothing is learnt, every text is ``und``. Empty tables give empty results. Other
@@ -28,7 +30,7 @@ from .common import held_out, result, scratch, stage, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
-MAX_WORD, ROUNDS = 64, 20
+MAX_WORD, ROUNDS, MOVE = 64, 20, 1e-3
 _words = re.compile(r"[^\W\d_]+")
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
@@ -56,6 +58,8 @@ def grams(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def words(text: str | None) -> list[str]:
     """Runs of letters, lower case; a run longer than MAX_WORD comes in parts, so that none is dropped."""
     found = _words.findall((text or "").lower())
+    if not "".join(found).isalpha() and found:  # word characters that are numbers, like fractions and circled digits, are no letters
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
     if any(len(w) > MAX_WORD for w in found):
         found = [w[k : k + MAX_WORD] for w in found for k in range(0, len(w), MAX_WORD)]
     return found
@@ -119,14 +123,20 @@ def mixtures(like: np.ndarray, weight: np.ndarray, first: np.ndarray, p: np.ndar
     """
     size = np.diff(np.append(first, len(like)))
     text, total = np.repeat(np.arange(len(first)), size), np.add.reduceat(weight, first)[:, None]
+    p, going = p.copy(), np.arange(len(first))
+    some, many, begin, of = like, weight, first, text  # of the texts that still move
     for _ in range(rounds):
-        post = like * p[text]
-        post *= (weight / post.sum(axis=1))[:, None]
-        new = np.add.reduceat(post, first, axis=0) / total
-        moved = np.abs(new - p).max()
-        p = new
-        if moved < 1e-3:
+        post = some * p[of]
+        post *= (many / post.sum(axis=1))[:, None]
+        new = np.add.reduceat(post, begin, axis=0) / total[going]
+        moves = np.abs(new - p[going]).max(axis=1) >= MOVE
+        p[going] = new
+        if not moves.any():
             break
+        if not moves.all():
+            rows = np.repeat(moves, size[going])
+            going, some, many, of = going[moves], some[rows], many[rows], of[rows]
+            begin = np.concatenate(([0], np.cumsum(size[going])))[:-1]
     return p, np.add.reduceat(weight * np.log((like * p[text]).sum(axis=1)), first)
 
 

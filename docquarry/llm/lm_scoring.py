@@ -6,11 +6,12 @@
 2. The filter. An n-gram of count c has the level 1 + floor(log_1.5 c). The owner sets the bits of (n-gram, 1) ... (n-gram,
    level) in its segment, at ``BITS`` bits an item. Probing (n-gram, 1), (n-gram, 2), ... until one is absent gives the
    level back, and the level gives the expected count. Errors only raise a count; a pair's count is cut to its words'.
+   Every count in a score, of words and of pairs, comes from the filter, whatever the size of the corpus.
 3. Scoring. P(w | v) = (c(vw) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)): Dirichlet smoothing of the
    pair model with the unigram model. The text's start is a history of its own, the end is a token.
 4. The filter is broadcast while its size, which is known by then, is at most ``BROADCAST_BYTES``. Beyond, the distinct
    n-grams asked for go to the segments' owners instead, and the answers are joined to the documents.
-5. The base score and n_known need exact counts. The most frequent words (at most ``HOT_WORDS``, a fixed bound) are
+5. Only the base score and n_known use exact counts. The most frequent words (at most ``HOT_WORDS``, a fixed bound) are
    broadcast with their counts; every other word of a document meets the whole vocabulary in a shuffled join.
 
 Words are known by 64-bit hashes.
@@ -230,7 +231,7 @@ def _distinct_pairs(t: np.ndarray) -> list[dict]:
     return [dict(zip(("pair", "history", "word", "m"), map(int, x), strict=True)) for x in zip(*cols, strict=True)]
 
 
-def _scores_by_owners(asked: DataFrame, model: Model, least: int) -> DataFrame:
+def _scores_by_owners(asked: DataFrame, model: Model) -> DataFrame:
     """(uid, score): the distinct n-grams go to the owners of their segments, the answers are joined to the documents."""
     segments, start_hash = model.segments, int(_START.astype(np.int64))
     names = asked.select(F.explode(F.array("pair", "history", "word")).alias("h")).distinct()
@@ -251,8 +252,7 @@ def _scores_by_owners(asked: DataFrame, model: Model, least: int) -> DataFrame:
 
     placed = names.mapInArrow(place, "h long, segment long").groupBy("segment")
     answers = placed.cogroup(model.parts.select("segment", "bits", "filter").groupBy("segment")).applyInArrow(answer, "h long, est double")
-    hot = model.vocabulary.filter(F.col("c") >= least).select(F.col("word").alias("h"), "c")
-    answers = stage(answers.join(hot, "h", "left").select("h", F.coalesce(F.col("c").cast("double"), "est").alias("est")), "lm-answers")
+    answers = stage(answers, "lm-answers")
     rows = asked
     for name in ("pair", "history", "word"):
         rows = rows.join(answers.select(F.col("h").alias(name), F.col("est").alias(name + "_c")), name)
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if arrays is not None:
                 bits, start, data = arrays
                 look = lambda h: probe(h, bits[s := segment_of(h, segments)], start[s], data)
-                est = np.where(c >= 0, c, _MIDDLE[look(u)])
+                est = _MIDDLE[look(u)]
                 p = np.concatenate([pairs(x) for x in texts]) if texts else t
                 pu, pinv = np.unique(p, return_inverse=True)
                 pc = _MIDDLE[look(pu)][pinv]
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     more = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * F.log10((F.col("c") + 0.1) / F.lit(d))).alias("base2"))
     out = first.drop("rest", "asked").join(more, "uid", "left")
     if not by_broadcast:
-        out = out.drop("score").join(_scores_by_owners(first.select("uid", F.explode("asked").alias("a")).select("uid", "a.*"), model, least), "uid")
+        out = out.drop("score").join(_scores_by_owners(first.select("uid", F.explode("asked").alias("a")).select("uid", "a.*"), model), "uid")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), "score")
 
 

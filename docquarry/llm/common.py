@@ -153,3 +153,12 @@ def _settled(links: DataFrame, max_rounds: int, task_links: int) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+
+
+def meetings(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, other): every block (keys, block, blocks, m) with itself, where other is null, and with every later block of its bucket."""
+    several = blocks.filter("blocks > 1")
+    later = F.explode(F.expr("CASE WHEN block + 1 < blocks THEN sequence(block + 1, blocks - 1) ELSE array() END")).alias("block")
+    pairs = several.select(*keys, "m", later).join(several.select(*keys, "block", F.col("m").alias("other")), [*keys, "block"])
+    alone = blocks.select(*keys, "m", F.lit(None).cast(blocks.schema["m"].dataType).alias("other"))
+    return alone.unionByName(pairs.select(*keys, "m", "other"))

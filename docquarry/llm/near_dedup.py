@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, result, scratch, stage, table
+from .common import connected_components, meetings, result, scratch, stage, table
 
 WIDTH, THRESHOLD = 5, 80  # words a shingle, similarity in percent
 BANDS, ROWS, SKETCH, BATCH, MISS = 64, 8, 128, 32, 1e-6
@@ -232,13 +232,6 @@ def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return stage(full.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("cls", "n", "c", "sketch", "z")).alias("m")), "near-blocks")
 
 
-def _meetings(blocks: DataFrame) -> DataFrame:
-    """(key, m, other): every block with itself (other is null) and with every later block of its bucket."""
-    several = blocks.filter("blocks > 1")
-    left = several.select("key", "m", F.explode(F.expr("CASE WHEN block + 1 < blocks THEN sequence(block + 1, blocks - 1) ELSE array() END")).alias("block"))
-    return blocks.select("key", "m", F.lit(None).cast(blocks.schema["m"].dataType).alias("other")).unionByName(left.join(several.select("key", "block", F.col("m").alias("other")), ["key", "block"]).select("key", "m", "other"))
-
-
 class _Met:
     """The members of one meeting: candidates are pairs of different components whose sizes and sketches leave the threshold possible."""
 
@@ -283,7 +276,7 @@ def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    return _meetings(blocks).mapInArrow(run, "a long, b long")
+    return meetings(blocks, ["key"]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD) -> DataFrame:

@@ -79,18 +79,27 @@ def brute(rows):
     return sorted(out)
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("block", [512, 4])
+def test_vectors(spark, block):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((12, 16))
     rows = [(k, [float(np.float32(x)) for x in centre[k % 12] + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.35])]) for k in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, [float(np.float32(2 * x)) for x in rows[4][1]])]
     rows += [(300, None), (301, []), (302, [0.0] * 16), (303, [None] * 16), (304, [float("nan")] * 16), (305, [1.0, 2.0]), (306, [1.0, 2.0]), (None, rows[3][1]), (None, None), (200, rows[3][1])]
     df = spark.createDataFrame([(i, v, 1, 2, "c") for i, v in rows], "vec_id long, embedding array<float>, label int, size int, code string")
-    got = embedding_dedup.near_vectors(df).collect()
+    got = embedding_dedup.near_vectors(df, block=block).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == brute(rows)
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
     assert embedding_dedup.near_vectors(df.withColumn("embedding", df["embedding"].cast("array<double>"))).count() == len(rows)
 
 
+def test_vectors_of_one_id(spark):
+    """One id may have several vectors: each row counts its own links."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [0.01, 1.0])]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == brute(rows)
+    assert all(r["n_links"] == 1 for r in got)
+
+
 def test_shared_dir_is_set(spark):
     assert shared_dir(spark)

@@ -1,13 +1,16 @@
 """Exact deduplication over an extendible-hash index on shared files. DataFrame operations only.
 
-1. Texts are normalised and addressed by the upper bits of a 64-bit hash. Rows with equal (hash, text) are combined
-   before the shuffle, so a text with any number of copies sends one row per map task; grouping by the text itself is
-   the comparison of bytes.
-2. A directory of hash prefixes is doubled until no bucket holds more than ``bucket_capacity`` entries. Only buckets
-   that are overfull split, so several directory addresses may name one bucket.
-3. Owner tasks take key ranges, chain the entries of a colliding key, and write their part of the index as files in the
-   shared folder.
-4. Every document finds its entry by key. Keys whose chain has more than one entry (true hash collisions) compare texts.
+1. Every text is normalised, hashed (64 bits) and digested once; ids, hashes and digests are staged without the texts.
+2. A directory of hash prefixes over the distinct hashes is doubled until no bucket holds more than ``bucket_capacity`` of
+   them. Only buckets that are overfull split, so several directory addresses may name one bucket.
+3. Each hash goes to its bucket through the directory, each range of buckets to its owner task, which writes its part of
+   the index as files in the shared folder. A hash that one document has is an entry at once. Of a hash that several have
+   the texts are compared: equal bytes are combined before they move, what is left under one hash is a chain of collisions.
+4. Every document finds its bucket through the directory and its entry in the bucket; in a chain the digest decides, which
+   the comparison of bytes has shown to belong to one text.
+
+A document whose hash is its own never sends its text anywhere; of a text with any number of copies each map task sends
+one row. The directory is broadcast while it has at most ``BROADCAST_SLOTS`` addresses, beyond that it is joined.
 
 Nulls: a null text is empty; a null id comes after every other id and never wins. Repeated rows (same id and text): the
 first one stands for the document, the others are its copies. Empty tables give empty results. Other columns are ignored.
@@ -18,12 +21,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, table
+from .common import SPACE, result, scratch, stage, table
 
 BUCKET_CAPACITY = 100_000
+#: Directory addresses (20 bytes), and hashes that several documents have (8 bytes), that are broadcast at most.
+BROADCAST_SLOTS, BROADCAST_KEYS = 1_000_000, 2_000_000
 
 
 def normalised(text: str | Column) -> Column:
@@ -31,11 +35,6 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " ")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
-    norm = normalised(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", _key(F.col("norm"), key_bits))
-
-
 def _key(norm: Column, key_bits: int) -> Column:
     h = F.xxhash64(norm)
     return h if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - key_bits), 64 - key_bits)
@@ -48,6 +47,8 @@ def _prefix(key: Column, bits: int) -> Column:
 def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> tuple[DataFrame, int]:
     """(address, bucket, local_depth) of an extendible directory over ``entries.key``, and its global depth.
 
+    Buckets are numbered by their first address, so the order of buckets is the order of hashes.
+
     The counts of all depths come from one histogram; it is taken again, deeper, only while a bucket that holds
     different keys is still overfull. Its size is about twice (entries / bucket_capacity) rows.
     """
@@ -71,50 +72,79 @@ def directory(entries: DataFrame, bucket_capacity: int = BUCKET_CAPACITY, key_bi
     return grown.select("address", "bucket", "local_depth"), top
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
-    """The index: one entry per distinct text, (bucket, key, chain_pos, chain_len, keep_id, group_size, text_sha256)."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col, key_bits)
-    entries = keyed.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = stage(entries.select("key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")), "dedup-entries")
-    slots, top = directory(entries, bucket_capacity, key_bits)
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = entries.withColumn("address", _prefix(F.col("key"), top)).join(slots, "address")
-    chain = W.partitionBy("key")
-    index = (
-        placed.repartitionByRange(owners, "key")
-        .withColumn("chain_len", F.count(F.lit(1)).over(chain))
-        .withColumn("chain_pos", F.row_number().over(chain.orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")))
-    )
-    return stage(index.select("bucket", "key", "chain_pos", "chain_len", "keep_id", "group_size", "text_sha256"), "dedup-index")
+class Index:
+    """The staged index: ``slots`` and ``depth`` of the directory, ``entries`` (bucket, key, chain_len, keep_id, group_size, text_sha256)."""
+
+    def __init__(self, slots: DataFrame, depth: int, entries: DataFrame):
+        self.slots, self.depth, self.entries = slots, depth, entries
+
+    def addressed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with key) and the bucket that the directory names for them."""
+        slots = self.slots.select("address", "bucket")
+        if self.slots.count() <= BROADCAST_SLOTS:
+            slots = F.broadcast(slots)
+        return rows.withColumn("address", _prefix(F.col("key"), self.depth)).join(slots, "address").drop("address")
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
+    norm = normalised(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select("doc_id", _key(F.col("norm"), key_bits).alias("key"), F.sha2("norm", 256).alias("text_sha256"))
+
+
+def build_index(docs: DataFrame, digests: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> Index:
+    """The index over ``docs``; ``digests`` is the staged result of _digested."""
+    owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = stage(digests.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_id"), F.min("text_sha256").alias("text_sha256")), "dedup-keys")
+    slots, depth = directory(keys, bucket_capacity, key_bits)
+    index = Index(stage(slots, "dedup-slots"), depth, keys)
+    one = keys.filter("n = 1").select("key", F.lit(1).cast("long").alias("chain_len"), "keep_id", F.col("n").alias("group_size"), "text_sha256")
+    several = keys.filter("n > 1").select("key")
+    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("key", _key(F.col("norm"), key_bits))
+    met = norm.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "key", "left_semi")
+    # the key of the grouping holds the whole text: this is the comparison of bytes
+    texts = met.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = stage(texts.select("key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")), "dedup-texts")
+    length = texts.groupBy("key").agg(F.count(F.lit(1)).alias("chain_len"))
+    chained = texts.join(length, "key").select("key", "chain_len", "keep_id", "group_size", "text_sha256")
+    placed = index.addressed(one.unionByName(chained)).repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256")
+    index.entries = stage(placed.select("bucket", "key", "chain_len", "keep_id", "group_size", "text_sha256"), "dedup-index")
+    return index
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
-    index = build_index(docs, id_col, text_col, bucket_capacity, key_bits)
-    keyed = _keyed(docs, id_col, text_col, key_bits)
+    with scratch(docs.sparkSession):
+        return result(_decided(docs, id_col, text_col, bucket_capacity, key_bits), "dedup")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, bucket_capacity: int, key_bits: int) -> DataFrame:
+    digests = stage(_digested(docs, id_col, text_col, key_bits), "dedup-digests")
+    index = build_index(docs, digests, text_col, id_col, bucket_capacity, key_bits)
+    rows = index.addressed(digests.groupBy("doc_id", "key", "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
     found = ["keep_id", "group_size", "text_sha256", "bucket"]
-    rows = keyed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
-    single = index.filter("chain_len = 1")
-    out = rows.join(single.select("key", *found), "key").select("doc_id", "copies", *found)
-    chained = index.filter("chain_len > 1")
+    single = index.entries.filter("chain_len = 1").drop("chain_len", "text_sha256")
+    out = rows.join(single, ["bucket", "key"]).select("doc_id", "copies", *found)
+    chained = index.entries.filter("chain_len > 1").drop("chain_len")
     if not chained.isEmpty():
-        crowd = keyed.join(chained.select("key").distinct(), "key", "left_semi")
-        heads = crowd.select("key", "norm").distinct().withColumn("text_sha256", F.sha2("norm", 256))
-        heads = heads.join(chained.select("key", *found), ["key", "text_sha256"])
-        mine = crowd.groupBy("doc_id", "key", "norm").agg(F.count(F.lit(1)).alias("copies"))
-        chained_rows = mine.join(heads, ["key", "norm"]).select("doc_id", "copies", *found)
-        out = out.unionByName(chained_rows)
+        out = out.unionByName(rows.join(chained, ["bucket", "key", "text_sha256"]).select("doc_id", "copies", *found))
     out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", "bucket")
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of equal texts the whole row with the smallest id."""
-    norm = normalised(F.col(text_col))
-    row = F.struct(F.col(id_col).isNull().alias("_no_id"), F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"))
-    kept = docs.select(_key(norm, key_bits).alias("_key"), norm.alias("_norm"), row.alias("_first")).groupBy("_key", "_norm").agg(F.min("_first").alias("_first"))
-    return kept.select("_first._row.*")
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
+    """The rows of ``docs`` that stay by the index, with all their columns; of rows that repeat id and text the least row."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        decided = exact_dedup(docs, id_col, text_col, bucket_capacity, key_bits)
+        own = decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+        own = stage(own, "dedup-own")
+        same = lambda d: F.col("_i").eqNullSafe(d["_id"]) & (F.col("_s") == d["_sha"])
+        rows = docs.withColumn("_i", F.col(id_col)).withColumn("_s", F.sha2(normalised(text_col), 256))
+        gone = own.filter("NOT _kept OR _rows > 1").select("_id", "_sha")
+        once = rows.join(gone, same(gone), "left_anti").select(*docs.columns)
+        again = own.filter("_kept AND _rows > 1").select("_id", "_sha")
+        repeated = rows.join(again, same(again), "left_semi").groupBy("_i", "_s").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        return result(once.unionByName(repeated.select("_row.*")), "distinct")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Personal data: exact patterns as seeds, then bootstrapped contextual extraction.
 
-1. The four base patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. Their scans are linear
-   in the text: they start only where a match can start.
-2. Seeds induce lexical patterns: "the word before is w" and "the word after is w", for a kind. A pattern needs
-   ``MIN_SEEDS`` different seed values. All occurrences of its word in the corpus are counted, so that a common word which
-   merely happens to stand beside an identifier has a confidence near 0.
-3. Patterns that still may be confident (``MAYBE``) are looked for again, and what stands beside their word in the wider
-   shape of the kind is an instance: a spelt-out address, a local phone number, a number that fails the check digit.
-4. The pattern-instance graph is scored in rounds: an instance's confidence is 1 for a seed, else that of its best
-   pattern; a pattern's confidence is the mean over all occurrences of its word. Instances of patterns of at least
-   ``SURE`` become further spans, unless they overlap a base span or an earlier one. Base spans always stay.
+1. One scan finds the base spans (seeds) and every other place that has the wider shape of a kind: a spelt-out address, a
+   local phone number, a number that fails the check digit. Both come with their contexts, the one to three tokens before
+   and after, and are staged with the row's number; all that follows joins these tables. The scans are linear in the text:
+   they start only where a match can start.
+2. A context of a kind and side is a pattern, the text found is an instance of it. A second scan counts how often the
+   tokens of each context that stands beside ``MIN_VALUES`` different instances occur anywhere, so a common word that merely
+   happens to stand beside identifiers has a confidence near 0, and a longer context around it may still have a high one.
+3. The pattern-instance graph is scored in rounds. Seeds have the trust 1. A pattern's confidence is the trust of its
+   occurrences over all occurrences of its tokens (plus one). Patterns of at least ``SURE`` with ``MIN_VALUES`` different trusted
+   instances give their confidence to their other instances; these induce further patterns in the next round, until a
+   round finds no new pattern. A confidence or trust once given stays, so there are no more rounds than patterns.
+4. Wider shapes beside a sure pattern become further spans, unless they overlap a base span or an earlier one. Base spans
+   always stay.
+
+Patterns and instances are known by 64-bit hashes, so their length doesn't matter.
 
 Nulls: a null text is empty and has no spans; a null id is kept. Repeated rows each get their spans. Empty tables give empty
 results. Other columns are ignored.
@@ -18,17 +23,21 @@ results. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage, table
+from .common import result, scratch, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MAYBE, SURE, ROUNDS = 3, 0.3, 0.6, 3
-#: Pattern words are broadcast up to this many (they're counted first); beyond, words are counted by a shuffle.
-BROADCAST_WORDS = 500_000
+MIN_VALUES, SURE, CONTEXT = 3, 0.6, 3
+#: Contexts are broadcast up to this many (8 bytes each); beyond, the counts of all contexts are joined instead.
+BROADCAST_CONTEXTS = 2_000_000
+CACHE_TOKENS = 200_000
 
 _digit = re.compile(r"[0-9]")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,13 +45,16 @@ _local_chars = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What an instance beside a pattern's word may look like.
+#: What an instance may look like that is no base span; an address is looked for from its sign or the word for it.
+_at = re.compile(r"\s?(?:@|\(at\)|\[at\])\s?|\sat\s", re.I)
+_spelt = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
 _WIDE = {
-    "email": r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]+)+",
-    "ip": r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9]){12,18}",
-    "phone": r"\(?[0-9][\x20().0-9/-]{5,20}[0-9]",
+    1: re.compile(r"(?<![\w@.+:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w@])"),
+    2: re.compile(r"(?<![\w@.+])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w@])"),
+    3: re.compile(r"(?<![\w@.+])\(?[0-9][\x20().0-9/-]{5,20}[0-9](?![\w@])"),
 }
+_token = re.compile(r"\w+|[^\w\s]")
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def _emails(text: str):
@@ -85,24 +97,83 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def _beside(text: str, start: int, end: int) -> tuple[str | None, str | None]:
-    """The words before and after a span, lower case; only the nearest 80 characters count as near."""
-    left, right = text[max(0, start - 80) : start].split(), text[end : end + 80].split()
-    return (left[-1].lower() if left else None), (right[0].lower() if right else None)
+def wide_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of every wider shape, kinds apart."""
+    out, end = [], 0
+    for m in _at.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _local_chars:
+            start -= 1
+        found = _spelt.match(text, m.end()) if start < m.start() else None
+        if found:
+            end = found.end()
+            out.append((start, 0, end))
+    if _digit.search(text):
+        out += [(m.start(), k, m.end()) for k, shape in _WIDE.items() for m in shape.finditer(text)]
+    return out
+
+
+class _Tokens(dict):
+    """The hash of a token in lower case."""
+
+    def __missing__(self, token: str) -> int:
+        h = xxhash.xxh3_64_intdigest(token.lower())
+        if len(self) < CACHE_TOKENS:
+            self[token] = h
+        return h
 
 
-def _flat(batch, rows, names_types):
-    cols = list(zip(*rows, strict=True)) or [()] * len(names_types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names_types, strict=True)], names=[n for n, _ in names_types])
+_tokens = _Tokens()
+
+
+def contexts(hashes: np.ndarray) -> list[np.ndarray]:
+    """Of token hashes: the contexts of 1, 2, ... CONTEXT tokens that begin at each token."""
+    out, h = [], np.zeros(len(hashes), np.uint64)
+    for n in range(CONTEXT):
+        h = h[: max(0, len(hashes) - n)] * _K[0] + hashes[n:]
+        h = (h ^ (h >> np.uint64(31))) * _K[1] + np.uint64(n)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(_tokens.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Base spans and wider shapes that overlap none, with their contexts before and after."""
+    ends = [e for _, _, e in base]  # base spans may overlap between kinds, so the running maximum counts
+    for k in range(1, len(ends)):
+        ends[k] = max(ends[k], ends[k - 1])
+    starts = [s for s, _, _ in base]
+    clear = lambda s, e: not (n := bisect_left(starts, e)) or ends[n - 1] <= s
+    found = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in wide_spans(text) if clear(s, e)]
+    if not found:
+        return []
+    tokens = list(_token.finditer(text))
+    begins, closes = [m.start() for m in tokens], [m.end() for m in tokens]
+    at = contexts(_hashes([m[0] for m in tokens]))
+    out = []
+    for s, k, e, seed in found:
+        i, j = bisect_right(closes, s), bisect_left(begins, e)
+        left = [int(at[n][i - n - 1]) for n in range(CONTEXT) if i > n]
+        right = [int(at[n][j]) for n in range(CONTEXT) if j + n < len(tokens)]
+        value = int(np.uint64(xxhash.xxh3_64_intdigest(text[s:e])).astype(np.int64))
+        out.append({"kind": k, "start": s, "end": e, "value": value, "seed": seed, "left": left, "right": right})
+    return out
+
+
+def joined(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+_MENTION = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("seed", pa.bool_()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
 
 
-def base_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, spans, beside): uid numbers the rows; beside has (kind, side, word, value) of each seed."""
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, doc_id, spans, mentions); uid numbers the rows and has to be staged with them."""
     kind = docs.schema[id_col].dataType.simpleString()
-    beside_t = pa.list_(pa.struct([("kind", pa.int32()), ("side", pa.string()), ("word", pa.string()), ("value", pa.string())]))
 
     def run(batches):
         from pyspark import TaskContext
@@ -114,109 +185,76 @@ def base_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = x.as_py() or ""
                 own = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
-                near = []
-                for s, k, e in own:
-                    near += [{"kind": k, "side": side, "word": w, "value": text[s:e]} for side, w in zip("LR", _beside(text, s, e), strict=True) if w]
-                around.append(near)
+                around.append(mentions(text, own))
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), b.column(0), pa.array(spans, _SPAN), pa.array(around, beside_t)], names=["uid", "doc_id", "spans", "beside"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), b.column(0), pa.array(spans, _SPAN), pa.array(around, _MENTION)], names=["uid", "doc_id", "spans", "mentions"])
             uid += n
 
-    schema = f"uid long, doc_id {kind}, spans array<struct<start:long,kind:int,end:long>>, beside array<struct<kind:int,side:string,word:string,value:string>>"
+    schema = f"uid long, doc_id {kind}, spans array<struct<start:long,kind:int,end:long>>, mentions array<struct<kind:int,start:long,end:long,value:long,seed:boolean,left:array<long>,right:array<long>>>"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def word_totals(docs: DataFrame, text_col: str, words: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(word, total): how often each of ``words`` (column word) occurs in the corpus, case apart."""
-    spark = docs.sparkSession
-    if words.count() > broadcast_words:
-        every = docs.select(F.explode(F.split(F.lower(text_col), SPACE)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-        return every.join(words, "word", "left_semi")
-    wanted = spark.sparkContext.broadcast(frozenset(r["word"] for r in words.collect()))  # broadcast_words at most
-
-    def run(batches):
-        from collections import Counter
-
-        n, want = Counter(), wanted.value
-        for b in batches:
-            for x in b.column(0):
-                n.update(filter(want.__contains__, (x.as_py() or "").lower().split()))
-        yield _flat(None, list(n.items()), [("word", pa.string()), ("n", pa.int64())])
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("total"))
-
-
-def instances(docs: DataFrame, text_col: str, patterns: list) -> DataFrame:
-    """(uid, kind, side, word, value, start, end) of wider shapes beside the words of ``patterns``, none over a base span."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(patterns)
-    names = [("uid", pa.int64()), ("kind", pa.int32()), ("side", pa.string()), ("word", pa.string()), ("value", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
+def context_totals(docs: DataFrame, text_col: str, wanted: DataFrame, broadcast_contexts: int = BROADCAST_CONTEXTS) -> DataFrame:
+    """(context, total): how often each of ``wanted`` (context, distinct) occurs in the corpus."""
+    n = wanted.count()
+    few = n <= broadcast_contexts
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["context"].to_numpy()) if few else None)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        uid = TaskContext.get().partitionId() << 36
-        by: dict[str, list[tuple[int, str]]] = {}
-        for kind, side, word in shared.value:
-            by.setdefault(word, []).append((kind, side))
-        shapes = {k: re.compile(rf"\s{{1,3}}({_WIDE[name]})(?![\w@])") for k, name in enumerate(KINDS)}
-        before = {k: re.compile(rf"(?<![\w@.+])({_WIDE[name]})\s{{1,3}}\Z") for k, name in enumerate(KINDS)}
-        token = re.compile(r"\S+")
+        want = shared.value
+        total = np.zeros(n if few else 0, np.int64)
         for b in batches:
-            rows = []
-            for n, x in enumerate(b.column(0)):
-                text = x.as_py() or ""
-                if not any(w in by for w in set(text.lower().split())):
-                    continue
-                base = base_spans(text)
-                for m in token.finditer(text):
-                    for kind, side in by.get(m[0].lower(), ()):
-                        found = shapes[kind].match(text, m.end()) if side == "L" else before[kind].search(text[max(0, m.start() - 80) : m.start()])
-                        if found:
-                            shift = 0 if side == "L" else max(0, m.start() - 80)
-                            s, e = found.start(1) + shift, found.end(1) + shift
-                            if not any(s < be and bs < e for bs, _, be in base):
-                                rows.append((uid + n, kind, side, m[0].lower(), text[s:e], s, e))
-            uid += b.num_rows
-            yield _flat(None, rows, names)
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "uid long, kind int, side string, word string, value string, start long, end long")
-
-
-def score_graph(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, side, word, confidence). edges: kind, side, word, value, seed, n."""
-    key = ["kind", "side", "word"]
-    values = edges.select("kind", "value", F.col("seed").cast("double").alias("trust")).groupBy("kind", "value").agg(F.max("trust").alias("trust"))
-    scored = None
-    for _ in range(rounds):
-        held = edges.join(values, ["kind", "value"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("trust")).alias("mass"), F.count_distinct(F.when(F.col("seed"), F.col("value"))).alias("seeds"))
-        scored = stage(held.join(totals, "word").select(*key, F.when(F.col("seeds") >= MIN_SEEDS, F.col("mass") / (F.col("total") + 1)).otherwise(0.0).alias("confidence")), "pii-patterns")
-        best = edges.join(scored, key).groupBy("kind", "value").agg(F.max("confidence").alias("confidence"), F.max(F.col("seed").cast("double")).alias("seed"))
-        values = stage(best.select("kind", "value", F.greatest("confidence", "seed").alias("trust")), "pii-values")
-    return scored
+            every = [h for x in b.column(0) if (t := x.as_py()) for h in contexts(_hashes(_token.findall(t)))]
+            h = np.concatenate(every) if every else np.empty(0, np.int64)
+            if few and n:
+                at = np.minimum(np.searchsorted(want, h), n - 1)
+                total += np.bincount(at[want[at] == h], minlength=n)
+            elif not few:
+                u, c = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["context", "n"])
+        if few:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(want[at], pa.int64()), pa.array(total[at])], names=["context", "n"])
+
+    every = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("total"))
+    return every if few else every.join(wanted, "context", "left_semi")
+
+
+def score_graph(edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """(kind, side, context, confidence) of the sure patterns. edges: kind, side, context, value, seed, n, each instance of a pattern once."""
+    key = ["kind", "side", "context"]
+    trusted = edges.filter("seed").select("kind", "value").distinct().withColumn("trust", F.lit(1.0))
+    sure = None
+    while True:
+        mass = edges.join(trusted, ["kind", "value"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("trust")).alias("mass"), F.count(F.lit(1)).alias("values")).filter(F.col("values") >= MIN_VALUES)
+        new = mass.join(totals, "context").select(*key, (F.col("mass") / (F.col("total") + 1)).alias("confidence")).filter(F.col("confidence") >= SURE)
+        new = stage(new if sure is None else new.join(sure, key, "left_anti"), "pii-patterns")
+        if sure is not None and new.isEmpty():
+            return sure
+        sure = new if sure is None else stage(sure.unionByName(new), "pii-sure")
+        given = edges.join(new, key).groupBy("kind", "value").agg(F.max("confidence").alias("trust")).join(trusted, ["kind", "value"], "left_anti")
+        trusted = stage(trusted.unionByName(given), "pii-trusted")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (spans of the exact patterns), spans (with what the method adds): arrays of (start, kind, end)."""
-    every = stage(base_table(docs, id_col, text_col), "pii-base")
-    near = every.select(F.explode("beside").alias("x")).select("x.*")
-    key = ["kind", "side", "word"]
-    seeds = stage(near.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n")), "pii-seeds")
-    patterns = stage(seeds.groupBy(*key).agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).filter(F.col("values") >= MIN_SEEDS), "pii-induced")
-    out = every.select("doc_id", "uid", F.col("spans").alias("base"))
-    totals = stage(word_totals(docs, text_col, patterns.select("word").distinct()), "pii-totals")
-    # an occurrence gives a pattern 1 at most: those whose seeds reach MAYBE of the total are worth another look
-    maybe = patterns.join(totals, "word").filter(F.col("n") / (F.col("total") + 1) >= MAYBE)
-    if maybe.isEmpty():
-        return out.select("doc_id", "base", F.col("base").alias("spans"))
-    if maybe.count() > BROADCAST_WORDS:
-        raise ValueError(f"more than {BROADCAST_WORDS} confident patterns; raise MIN_SEEDS")
-    found = stage(instances(docs, text_col, [tuple(r) for r in maybe.select(*key).collect()]), "pii-instances")
-    edges = seeds.withColumn("seed", F.lit(True)).unionByName(found.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(False)))
-    edges = edges.groupBy(*key, "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
-    sure = score_graph(edges.join(maybe.select(*key), key), totals).filter(F.col("confidence") >= SURE)
-    added = found.join(sure.select(*key), key).groupBy("uid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))  # a row's own spans
-    rows = out.join(added, "uid", "left")
+    with scratch(docs.sparkSession):
+        return result(_found(docs, id_col, text_col), "pii")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    every = stage(scan(docs, id_col, text_col), "pii-scan")
+    sided = lambda name, side: F.transform(name, lambda c: F.struct(F.lit(side).alias("side"), c.alias("context")))
+    beside = every.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*").withColumn("p", F.explode(F.concat(sided("left", "L"), sided("right", "R"))))
+    beside = stage(beside.select("uid", "kind", "start", "end", "value", "seed", "p.side", "p.context"), "pii-beside")
+    key = ["kind", "side", "context"]
+    edges = beside.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    often = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= MIN_VALUES).select(*key)
+    edges = stage(edges.join(often, key), "pii-edges")
+    totals = stage(context_totals(docs, text_col, edges.select("context").distinct()), "pii-totals")
+    sure = score_graph(edges, totals)
+    added = beside.filter("NOT seed").join(sure.select(*key), key).groupBy("uid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))  # a row's own spans
+    rows = every.select("doc_id", "uid", F.col("spans").alias("base")).join(added, "uid", "left")
 
     def apart(acc, x):
         clash = F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))

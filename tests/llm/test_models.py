@@ -160,15 +160,71 @@ def test_base_spans(texts):
         assert pii.base_spans(t) == spec_spans(t), t
 
 
-def test_bootstrap(spark):
-    """Local numbers after a word that stands before known numbers are found; a common word induces nothing."""
-    rows = [(k, f"call tel: +1 (555) 010-{1000 + k} now the end") for k in range(20)]
+def pii_rows():
+    rows = [(k, f"call tel: +1 (555) 010-{1000 + k} now the end") for k in range(50)]
     rows += [(100, "tel: 555 010 2222 is mine"), (101, "the 555 010 3333 is not"), (102, "write the +1 (555) 010-9999 down")]
     rows += [(200 + k, "the cat and the dog") for k in range(30)]
-    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # what is found beside "tel :" induces "wieder", which no seed stands beside
+    rows += [(300 + k, f"tel: 555 020 {1000 + k} wieder") for k in range(12)] + [(400, "anruf 555 030 7777 wieder")]
+    # common words before a number: the whole context tells
+    rows += [(500 + k, f"you can reach me at +1 (555) 040-{1000 + k}") for k in range(9)] + [(510, "reach me at 555 040 5555"), (511, "we met at 555 050 6666 or so")]
+    rows += [(600 + k, "look at me at last") for k in range(40)]
+    rows += [(700, "x" * 500 + " tel: 555 060 8888"), (701, f"tel:\u00a0555 060 9999 {'y' * 300}")]
+    return rows
+
+
+def brute_bootstrap(rows):
+    """The same by dictionaries: contexts are tuples of tokens, instances are strings."""
+    tokens = lambda t: [x.lower() for x in re.findall(r"\w+|[^\w\s]", t)]
+    edges, total, places = {}, Counter(), []
+    for i, t in rows:
+        ts = tokens(t)
+        total.update(tuple(ts[k : k + n]) for n in (1, 2, 3) for k in range(len(ts) - n + 1))
+        base = pii.base_spans(t)
+        wide = [(s, k, e) for s, k, e in pii.wide_spans(t) if not any(s < f and b < e for b, _, f in base)]
+        for (s, k, e), seed in [(x, True) for x in base] + [(x, False) for x in wide]:
+            left, right = tokens(t[:s]), tokens(t[e:])
+            for p in {(k, "L", tuple(left[-n:])) for n in (1, 2, 3) if len(left) >= n} | {(k, "R", tuple(right[:n])) for n in (1, 2, 3) if len(right) >= n}:
+                own = edges.setdefault(p, {}).setdefault(t[s:e], [0, False])
+                own[0], own[1] = own[0] + 1, own[1] or seed
+                places.append((i, s, k, e, seed, p))
+    trust = {(p[0], v): 1.0 for p, vs in edges.items() for v, (_, seed) in vs.items() if seed}
+    sure = {}
+    while True:
+        new = {}
+        for p, vs in edges.items():
+            held = [(n, trust[p[0], v]) for v, (n, _) in vs.items() if (p[0], v) in trust]
+            c = sum(n * x for n, x in held) / (total[p[2]] + 1)
+            if p not in sure and len(held) >= pii.MIN_VALUES and c >= pii.SURE:
+                new[p] = c
+        if not new:
+            return sure, {(i, s, k, e) for i, s, k, e, seed, p in places if p in sure and not seed}
+        sure |= new
+        given = {}
+        for p, c in new.items():
+            for v in edges[p]:
+                given[p[0], v] = max(c, given.get((p[0], v), 0))
+        trust = given | trust
+
+
+@pytest.mark.parametrize("most", [pii.BROADCAST_CONTEXTS, 0])
+def test_bootstrap(spark, monkeypatch, most):
+    monkeypatch.setattr(pii.context_totals, "__defaults__", (most,))
+    rows = pii_rows()
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sure, added = brute_bootstrap(rows)
+    assert {(i, x["start"], x["kind"], x["end"]) for i, r in got.items() for x in r["spans"] if x not in r["base"]} == added
     assert [tuple(x) for x in got[100]["spans"]] == [(5, 3, 17)] and not got[100]["base"]
     assert not got[101]["spans"] and got[102]["spans"] == got[102]["base"] != [] and not got[200]["spans"]
-    assert pii.word_totals(spark.createDataFrame(rows, "doc_id long, text string"), "text", spark.createDataFrame([("the",)], "word string"), 0).first()["total"] == 20 + 2 + 60
+    assert len(got[400]["spans"]) == len(got[510]["spans"]) == len(got[700]["spans"]) == len(got[701]["spans"]) == 1 and not got[511]["spans"]
+
+
+def test_wide_spans():
+    found = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.wide_spans(t)]
+    assert found("write to jo.doe (at) example (dot) org now") == [("email", "jo.doe (at) example (dot) org")]
+    assert found("or joe at home dot net") == [("email", "joe at home dot net")] and not found("be at home. No")
+    assert ("ip", "fe80::1:2") in found("host fe80::1:2 up") and ("phone", "(030) 123 4567") in found("dial (030) 123 4567")
+    assert not found("x" * 200_000 + "@") and len(found("1" * 100_000)) == 0
 
 
 def test_pii_odd(odd, none):

@@ -3,9 +3,10 @@
 1. Python workers tokenise whole texts (Arrow batches) and cut them into pieces; each piece is numbered within its task
    and length. Only the pieces' lengths and checksums are staged.
 2. The histogram (at most ``capacity`` rows) goes to the driver. The linear program "fewest sequences whose
-   configurations cover every length" is solved by multiplicative weights; each step's best configuration is priced by a
-   knapsack dynamic program. The solution is rounded down; the rest is solved again and then placed by best fit over the
-   histogram. The plan is a list of runs (configuration, times): its size depends on ``capacity`` only.
+   configurations cover every length" is solved by multiplicative weights; each step's configurations are priced by a
+   knapsack dynamic program and used in whole numbers. What the program leaves is placed by best fit over the histogram;
+   the plan is never longer than best fit alone, and its dual gives a lower bound. It is a list of runs (configuration,
+   times): its size depends on ``capacity`` only.
 3. Pieces get a rank within their length from per-task counts and look their place up in the plan: no piece is ever
    sorted, and no group is gathered.
 
@@ -17,6 +18,7 @@ token's id, as the ``tokenizers`` library does by default; no other special toke
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import result, scratch, stage, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker's cache holds at most; others are tokenised each time.
@@ -94,11 +96,6 @@ def _chunks(path: str) -> _Chunks:
     return _tokenizers[path]
 
 
-def token_bytes(path: str, text: str | None) -> bytes:
-    """Ids of ordinary text: what lies between added tokens."""
-    return _chunks(path).ids(text or "")
-
-
 def document_bytes(path: str, text: str | None) -> bytes:
     """Ids of a document, its added tokens included."""
     return _chunks(path).document(text or "")
@@ -142,8 +139,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack: lengths (value[l] of length l, 0 if absent) of greatest total value within ``capacity``."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest value within c, the length to take there or 0) for every c up to ``capacity``; value[l] is that of length l, 0 if absent."""
     lengths = np.flatnonzero(value)
     v = value[lengths]
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
@@ -155,42 +152,23 @@ def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
             j = int(total.argmax())
             if total[j] > best[c]:
                 best[c], choice[c] = total[j], lengths[j]
+    return best, choice
+
+
+def configuration(choice: np.ndarray, capacity: int, first: int = 0) -> dict[int, int]:
+    """The lengths of a greatest value within ``capacity``, of those with one piece of length ``first`` if it is given."""
     out: dict[int, int] = defaultdict(int)
-    c = capacity
+    if first:
+        out[first] = 1
+    c = capacity - first
     while c > 0:
-        if choice[c]:
-            out[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
+        n = int(choice[c])
+        if n:
+            out[n] += 1
+        c -= n or 1
     return dict(out)
 
 
-def solve_program(counts: np.ndarray, capacity: int, steps: int = 150, rate: float = 8.0) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each (fractional), covering counts[l] pieces of each length l.
-
-    Multiplicative weights: a length's price falls exponentially with the share of its pieces already covered; each step
-    adds the configuration of greatest price, as often as its scarcest length allows at 1 / rate of that length's pieces.
-    """
-    alive = counts > 0
-    covered = np.zeros(capacity + 1)
-    used: dict[tuple, float] = defaultdict(float)
-    for _ in range(steps):
-        share = np.divide(covered, counts, out=np.ones(capacity + 1), where=alive)
-        if share[alive].min() >= 1:
-            break
-        # the start of every price is the length's part of a sequence: the trivial dual solution l / capacity
-        price = np.where(alive & (share < 1), np.arange(capacity + 1) * np.exp(-rate * (share - share[alive].min())), 0)
-        config = best_configuration(price, capacity)
-        if not config:
-            break
-        times = max(1.0, min(counts[n] / (rate * k) for n, k in config.items()))
-        used[tuple(sorted(config.items()))] += times
-        for n, k in config.items():
-            covered[n] += k * times
-    return [(dict(c), x) for c, x in used.items()]
-
-
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best fit, longest first, on the histogram: equal pieces are placed together. (configuration, times) runs."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
@@ -222,26 +200,70 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [run for runs in open_.values() for run in runs]
 
 
-def packing_plan(counts: np.ndarray, capacity: int, rounds: int = 3) -> list[tuple[dict[int, int], int]]:
-    """(configuration, times): together they hold exactly counts[l] pieces of each length l."""
-    left, plan = counts.astype(np.int64).copy(), []
-    if left[capacity]:
-        plan.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(rounds):
-        before = left.sum()
-        if not before:
-            break
-        # configurations that waste nothing first, then those used most
-        for config, x in sorted(solve_program(left, capacity), key=lambda c: (sum(n * k for n, k in c[0].items()) < capacity, -c[1])):
-            times = min(int(x), *(int(left[n]) // k for n, k in config.items()))
-            if times > 0 and sum(n * k for n, k in config.items()) == capacity:
+#: (rate of the prices, slack of a configuration's price, share of the scarcest length that a step takes, steps).
+_PROGRAMS = ((4.0, 1e-3, 0.1, 120), (4.0, 1e-2, 0.25, 80), (3.0, 3e-2, 0.25, 80), (4.0, 1e-1, 0.1, 80))
+
+
+def _solutions(counts: np.ndarray, capacity: int, rate: float, slack: float, part: float, steps: int):
+    """The configuration program by multiplicative weights: (configurations so far, pieces left, lower bound) after each step.
+
+    A length's price is its part of a sequence times a weight that falls exponentially with the share of its pieces already
+    covered. The knapsack program prices, for each length, the best configuration that holds it; those within ``slack`` of
+    the greatest price are used, as often as ``part`` of their scarcest length allows, in whole numbers: this is the
+    rounding. All lengths go down together, so what is left can be packed like the whole. Prices over the greatest price
+    of a configuration are a solution of the dual program: their sum over all pieces is a lower bound.
+    """
+    size, left, plan = np.arange(capacity + 1), counts.copy(), []
+    whole = np.maximum(counts, 1)
+    for _ in range(steps):
+        alive = left > 0
+        if not alive.any():
+            return
+        share = left / whole
+        price = np.where(alive, size * np.exp(rate * (share - share[alive].max())), 0)
+        best, choice = knapsack(price, capacity)
+        top = best[capacity]
+        good = np.flatnonzero(alive & (price + best[capacity - size] >= (1 - slack) * top))
+        used = False
+        for n in sorted(good.tolist(), key=lambda n: (-share[n] * n, n)):
+            config = configuration(choice, capacity, n)
+            times = min(int(left[k]) // m for k, m in config.items())
+            times = min(times, max(1, int(times * part)))
+            if times > 0:
+                used = True
                 plan.append((config, times))
-                for n, k in config.items():
-                    left[n] -= k * times
-        if left.sum() > 0.5 * before:
-            break
-    return plan + best_fit(left, capacity)
+                for k, m in config.items():
+                    left[k] -= m * times
+        yield plan, left, float((counts * price).sum() / top)
+        if not used:
+            return
+
+
+def packing_plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(configuration, times): together they hold exactly counts[l] pieces of each length l, in no more sequences than best fit needs.
+
+    The solutions are tried with best fit for what is left, each time that a tenth of the tokens has gone; the fewest
+    sequences win. A plan that reaches the lower bound ends the search.
+    """
+    size, rest = np.arange(capacity + 1), counts.astype(np.int64).copy()
+    full = [({capacity: 1}, int(rest[capacity]))] if rest[capacity] else []
+    rest[capacity] = 0
+    tokens, many = int((rest * size).sum()), lambda plan: sum(t for _, t in plan)
+    best = best_fit(rest, capacity)
+    fewest, least = many(best), max(-(-tokens // capacity), int(rest[capacity // 2 + 1 :].sum()))
+    for program in _PROGRAMS:
+        mark = 0.9 * tokens
+        for plan, left, bound in _solutions(rest, capacity, *program):
+            least = max(least, math.ceil(bound - 1e-6))
+            if fewest <= least:
+                return full + best
+            held = int((left * size).sum())
+            if held <= mark:
+                mark = 0.9 * held
+                filled = best_fit(left, capacity)
+                if (n := many(plan) + many(filled)) < fewest:
+                    fewest, best = n, plan + filled
+    return full + best
 
 
 def _lookup(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, np.ndarray]:
@@ -259,6 +281,11 @@ def _lookup(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[int,
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids as 32-bit little-endian]."""
+    with scratch(docs.sparkSession):
+        return result(_packed(docs, tokenizer, id_col, text_col, capacity, with_ids), "packed")
+
+
+def _packed(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, with_ids: bool) -> DataFrame:
     cut = stage(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity, with_ids), "pack-pieces")
     per_task = stage(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     counts = np.zeros(capacity + 1, np.int64)

@@ -70,7 +70,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -82,7 +81,7 @@ TRICKY = [
 
 def test_ids_equal_the_library(texts):
     for text in [*TRICKY, *list(texts.values())[:120], None]:
-        assert np.frombuffer(packing.token_bytes(packing.default_tokenizer(), text), "<u4").tolist() == reference_ids(text), text
+        assert np.frombuffer(packing.document_bytes(packing.default_tokenizer(), text), "<u4").tolist() == reference_ids(text), text
 
 
 def test_added_tokens_have_their_ids(spark):
@@ -138,26 +137,49 @@ def test_pack_odd(odd, none):
     assert packing.pack(none, packing.default_tokenizer()).count() == 0
 
 
+def check_plan(counts, capacity):
+    """The plan holds the histogram; its number of sequences, best fit's, and the greater of the simple bounds."""
+    plan = packing.packing_plan(counts, capacity)
+    held = np.zeros(capacity + 1, np.int64)
+    for config, times in plan:
+        assert times > 0 and sum(n * k for n, k in config.items()) <= capacity
+        for n, k in config.items():
+            held[n] += k * times
+    assert (held == counts).all()
+    bound = max(-(-int((counts * np.arange(capacity + 1)).sum()) // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    return sum(t for _, t in plan), sum(t for _, t in packing.best_fit(counts, capacity)), bound
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_exact_and_near_the_bound(seed):
     rng = np.random.default_rng(seed)
     counts = np.zeros(101, np.int64)
     for n in rng.integers(1, 101, 60):
         counts[n] += rng.integers(1, 400)
-    plan = packing.packing_plan(counts, 100)
-    held = np.zeros(101, np.int64)
-    for config, times in plan:
-        assert times > 0 and sum(n * k for n, k in config.items()) <= 100
-        for n, k in config.items():
-            held[n] += k * times
-    assert (held == counts).all()
-    bound = -(-int((counts * np.arange(101)).sum()) // 100)
-    bound = max(bound, int(counts[51:].sum()))
-    assert sum(t for _, t in plan) <= 1.05 * bound + 3
+    plan, fit, bound = check_plan(counts, 100)
+    assert bound <= plan <= fit and plan <= 1.05 * bound + 3
+
+
+def test_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(1)
+    five, few = np.zeros(1025, np.int64), np.zeros(1025, np.int64)
+    five[[280, 300, 350, 420, 510]] = 15_000, 10_000, 9_000, 12_000, 8_000
+    few[[1, 1024]] = 1, 7
+    cases = {
+        "uniform": (np.bincount(rng.integers(1, 1025, 1_000_000), minlength=1025), 1.001), "five": (five, 1.04), "few": (few, 1.0),
+        "middle": (np.bincount(rng.integers(250, 520, 100_000), minlength=1025), 1.06), "large": (np.bincount(rng.integers(400, 1000, 100_000), minlength=1025), 1.01),
+        "texts": (np.bincount(np.clip(np.exp(rng.normal(5.5, 0.8, 200_000)).astype(int), 1, 1024), minlength=1025), 1.001), "none": (np.zeros(1025, np.int64), 1.0),
+    }
+    for name, (counts, most) in cases.items():
+        plan, fit, bound = check_plan(counts, 1024)
+        assert bound <= plan <= min(fit, most * bound), name
+    assert check_plan(five, 1024)[0] < 0.95 * check_plan(five, 1024)[1]  # the program, not its fallback
 
 
 def test_knapsack():
     value = np.zeros(11)
     value[[3, 4, 5]] = 3, 4.5, 5.5
-    config = packing.best_configuration(value, 10)
-    assert sum(value[n] * k for n, k in config.items()) == pytest.approx(11.0) or sum(value[n] * k for n, k in config.items()) == pytest.approx(12.0)
+    best, choice = packing.knapsack(value, 10)
+    config = packing.configuration(choice, 10)
+    assert best[10] == pytest.approx(11.0) == sum(value[n] * k for n, k in config.items())
+    assert packing.configuration(choice, 10, 3)[3] >= 1

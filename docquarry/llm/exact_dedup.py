@@ -132,18 +132,19 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, bucket_capacity: int,
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay by the index, with all their columns; of rows that repeat id and text the least row."""
-    spark = docs.sparkSession
-    with scratch(spark):
+    """The rows of ``docs`` that stay by the index, with all their columns; of rows that repeat id and text the least row.
+
+    A row is known by its id and a 64-bit hash of its text's digest. What goes is broadcast up to ``BROADCAST_KEYS`` rows;
+    beyond, the rows meet it in a shuffled join.
+    """
+    with scratch(docs.sparkSession):
         decided = exact_dedup(docs, id_col, text_col, bucket_capacity, key_bits)
-        own = decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-        own = stage(own, "dedup-own")
-        same = lambda d: F.col("_i").eqNullSafe(d["_id"]) & (F.col("_s") == d["_sha"])
-        rows = docs.withColumn("_i", F.col(id_col)).withColumn("_s", F.sha2(normalised(text_col), 256))
-        gone = own.filter("NOT _kept OR _rows > 1").select("_id", "_sha")
-        once = rows.join(gone, same(gone), "left_anti").select(*docs.columns)
-        again = own.filter("_kept AND _rows > 1").select("_id", "_sha")
-        repeated = rows.join(again, same(again), "left_semi").groupBy("_i", "_s").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        own = decided.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+        odd = stage(own.filter("NOT _kept OR _rows > 1").select("_id", "_sha", "_kept"), "dedup-odd")
+        rows = docs.withColumn("_i", F.col(id_col)).withColumn("_s", F.xxhash64(F.sha2(normalised(text_col), 256)))
+        met = rows.join(F.broadcast(odd) if odd.count() <= BROADCAST_KEYS else odd, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left")
+        once = met.filter("_sha IS NULL").select(*docs.columns)
+        repeated = met.filter("_kept").groupBy("_i", "_s").agg(F.min(F.struct(*docs.columns)).alias("_row"))
         return result(once.unionByName(repeated.select("_row.*")), "distinct")
 
 

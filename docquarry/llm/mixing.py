@@ -83,7 +83,9 @@ def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS,
     weights: tuple = WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, source, size, source_size, target, taken, row_key, one row per document.
+    """(documents, pieces). documents: doc_id, source, size, source_size, target, taken, first_slot, row_key, one row per document.
+
+    first_slot: the first slot of the schedule that takes words of the document, null if none does.
 
     pieces: the mix itself, (slot, sid, doc_id, row_key, lap, start, length): words [start, start + length) of the
     document belong to that slot; read in the order of slot, lap and place they are the mixed stream.
@@ -109,9 +111,9 @@ def mix_sources(
     met = cut.join(slots, ["sid", "block"], "left").withColumn("start", lo - F.col("at")).withColumn("length", F.greatest(hi - lo, F.lit(0)))
     pieces = met.filter("length > 0").select("slot", "sid", "doc_id", "row_key", "lap", "start", "length")
     keys = ["doc_id", "row_key", "source", "sid", "place", "size", "source_size", "target"]
-    taken = met.groupBy(*keys).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("taken"))
-    none = line.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken", "row_key"]
+    taken = met.groupBy(*keys).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("taken"), F.min(F.when(F.col("length") > 0, F.col("slot"))).alias("first_slot"))
+    none = line.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    cols = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "row_key"]
     return taken.select(*cols).unionByName(none.select(*cols)), pieces
 
 
@@ -130,4 +132,4 @@ def mixed_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_warc": warc.OP7_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_near_dedup": near_dedup.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL}

@@ -164,6 +164,10 @@ def tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(x: Column | str) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(TOKEN))
+
+
 def stable_int_id(x: Column | str) -> Column:
     """60 bits of SHA-1 as a number: the key of a point."""
     return F.conv(F.substring(F.sha1(_c(x).cast("binary")), 1, 15), 16, 10).cast("bigint")

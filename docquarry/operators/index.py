@@ -62,19 +62,25 @@ def admission_counters(chunks: DataFrame, spec: LexicalSpec) -> DataFrame:
     return chunks.agg(F.count_if(spec.keep()).alias("indexed"), F.count_if(~spec.keep()).alias("skipped_filter"))
 
 
-def postings(docs: DataFrame, key: str = "chunk_id", fields=FIELDS) -> DataFrame:
-    """(field, term, chunk_id, tf, len): how often each term stands in each field of each document."""
+def postings(docs: DataFrame, key: str = "chunk_id", fields=FIELDS, terms: list[str] | None = None) -> DataFrame:
+    """(field, term, chunk_id, tf, len): how often each term (of ``terms``, if they are given) stands in each field of each document."""
     parts = [docs.select(F.lit(f).alias("field"), F.col(key).alias("chunk_id"), T.tokens(f).alias("t")) for f in fields]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    rows = every.select("field", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    held = F.col("t") if terms is None else F.filter("t", lambda x: x.isin(terms))
+    rows = every.select("field", "chunk_id", F.size("t").alias("len"), F.explode(held).alias("term"))
     return rows.groupBy("field", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
+def positions(docs: DataFrame, key: str = "chunk_id", field: str = "text") -> DataFrame:
+    """(term, chunk_id, pos): where each term stands in a field."""
+    return docs.select(F.col(key).alias("chunk_id"), F.posexplode(T.tokens(field)).alias("pos", "term")).select("term", "chunk_id", "pos")
+
+
 def field_stats(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """(field, n_docs, avg_len); a document without a term in a field has length 0 there."""
-    cols = [F.struct(F.lit(f).alias("field"), F.size(T.tokens(f)).alias("len")) for f in fields]
+    cols = [F.struct(F.lit(f).alias("field"), T.token_count(f).alias("len")) for f in fields]
     return docs.select(F.inline(F.array(*cols))).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
@@ -99,8 +105,8 @@ def open_lexical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def points(chunks: DataFrame, spec: VectorSpec) -> DataFrame:
     """(point_id, chunk_id, vec, payload...) of all chunks with text."""
     kept = chunks.withColumn("_text", spec.text()).filter("_text <> ''")
-    vec = spec.embed(F.col("_text"))
-    return kept.select(T.stable_int_id("chunk_id").alias("point_id"), "chunk_id", (T.normalised(vec) if spec.normalise else vec).cast("array<float>").alias("vec"), *[c for c in spec.payload if c != "chunk_id"])
+    kept = kept.withColumn("_vec", spec.embed(F.col("_text")))  # a column first: models are Python functions, which lambdas can't hold
+    return kept.select(T.stable_int_id("chunk_id").alias("point_id"), "chunk_id", (T.normalised("_vec") if spec.normalise else F.col("_vec")).cast("array<float>").alias("vec"), *[c for c in spec.payload if c != "chunk_id"])
 
 
 def collection_dim(vectors: DataFrame) -> int:

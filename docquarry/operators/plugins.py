@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,15 @@ from ..functions import text as T
 
 
 def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
-    """Signed feature hashing of a text's tokens, in Catalyst."""
+    """Signed feature hashing: Catalyst hashes a text's tokens to signed slots, one Arrow batch of which is added up at a time."""
+
+    @F.pandas_udf("array<double>")
+    def added(slots: pd.Series) -> pd.Series:
+        return slots.map(lambda s: np.bincount(np.abs(s) - 1, np.sign(s), dim) if len(s) else np.zeros(dim))
 
     def embed(x: Column) -> Column:
-        t = T.tokens(x)
-        slot = F.transform(t, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).alias("k"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(slot, lambda p: p["k"] == k), F.lit(0.0), lambda a, p: a + p["s"]))
+        sign = lambda w: F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1).otherwise(-1)
+        return added(F.transform(T.tokens(x), lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)) + 1) * sign(w)))
 
     return embed
 

@@ -5,14 +5,19 @@ Scores are rounded before ranking, so that an order of addition never decides a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from .index import document_frequency, field_stats, postings
+from .index import document_frequency, field_stats, positions, postings
 
 K1, B, RRF_K, CANDIDATES, TOPK = 1.2, 0.75, 60, 200, 10
+#: Terms that are looked up in place, and bytes of queries that go to the workers at once.
+ASKED, QUERY_BYTES = 20_000, 64 << 20
 PAYLOAD = ("paper_id", "section", "source_file", "start_line", "end_line", "labels", "equations_raw", "text")
 
 
@@ -34,47 +39,103 @@ def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, df: DataF
     return out.select("query_id", "chunk_id", "score")
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.explode(F.array_distinct(T.tokens("query"))).alias("term")).distinct()
+
+
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, fields=("text",), key: str = "chunk_id", mode: str = "or") -> DataFrame:
-    """Straight from documents: counts only the queries' terms, so no index of the whole vocabulary is shuffled."""
-    post = postings(docs, key, fields)
-    asked = queries.select(F.explode(F.array_distinct(T.tokens("query"))).alias("term")).distinct()
-    post = post.join(asked, "term", "left_semi")
+    """Straight from documents: only the queries' terms leave a document, so no index of the whole vocabulary is shuffled.
+
+    Up to ``ASKED`` terms are looked up while a document's tokens are still one array; beyond, they are joined.
+    """
+    terms = [r["term"] for r in _asked(queries).limit(ASKED + 1).collect()]
+    if len(terms) <= ASKED:
+        post = postings(docs, key, fields, terms)
+    else:
+        post = postings(docs, key, fields).join(_asked(queries), "term", "left_semi")
     return top(bm25_scores(queries, post, field_stats(docs, fields), mode=mode), k, F.desc("score"), F.asc("chunk_id"))
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str = "chunk_id", vec: str = "vec") -> DataFrame:
-    """Exact cosine of each stated query (query_id, query_vec) with every vector.
+def phrase_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, field: str = "text", key: str = "chunk_id") -> DataFrame:
+    """Documents that hold all of a query's tokens next to each other and in order; (query_id, chunk_id, score, rank), score is how often.
 
-    The queries are few and their number is checked: they are broadcast to the vectors in blocks, which are never shuffled.
+    Positions come with the postings of the queries' terms: token n of the phrase at position p votes for the start p - n.
     """
-    block = 256
-    if queries.count() > block:
-        parts = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // block))))
-        many = [r[0] for r in parts.select("_b").distinct().collect()]
-        out = None
-        for b in many:
-            got = _dense(parts.filter(F.col("_b") == b).drop("_b"), vectors, k, key, vec)
-            out = got if out is None else out.unionByName(got)
-        return out
-    return _dense(queries, vectors, k, key, vec)
+    asked = queries.select("query_id", T.tokens("query").alias("t")).filter(F.size("t") > 0)
+    words = asked.select("query_id", F.size("t").alias("words"), F.posexplode("t").alias("n", "term"))
+    held = positions(docs, key, field).join(words.select("term").distinct(), "term", "left_semi")
+    starts = held.join(words, "term").groupBy("query_id", "chunk_id", (F.col("pos") - F.col("n")).alias("start"), "words").agg(F.count(F.lit(1)).alias("met"))
+    found = starts.filter("met = words").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return top(found, k, F.desc("score"), F.asc("chunk_id"))
+
 
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str = "chunk_id", vec: str = "vec") -> DataFrame:
+    """Exact cosine of each stated query (query_id, query_vec) with every vector: (query_id, chunk_id, score, rank).
 
-def _dense(queries: DataFrame, vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
+    The queries are few: blocks of at most ``QUERY_BYTES`` go to the workers, which multiply them with each batch of vectors and
+    keep the k best of every query. Vectors are never shuffled; a task returns at most queries x k rows.
+    """
     unit = queries.filter("query_vec IS NOT NULL").select("query_id", T.normalised("query_vec").alias("u"))
-    packed = unit.agg(F.collect_list(F.struct("query_id", "u")).alias("qs"))  # one row of at most a block
-    units = vectors.filter(F.col(vec).isNotNull()).select(F.col(key).alias("chunk_id"), T.normalised(vec).alias("_v"))
-    near = units.join(F.broadcast(packed)).select("chunk_id", "_v", F.explode("qs").alias("q"))
-    scored = near.select("q.query_id", "chunk_id", F.round(T.dot("_v", "q.u"), 6).alias("score"))
-    return top(scored, k, F.desc("score"), F.asc("chunk_id"))
+    size = unit.agg(F.sum(F.size("u") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    out = None
+    for b in range(blocks):
+        got = _dense(unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), vectors, k, key, vec)
+        out = got if out is None else out.unionByName(got)
+    return top(out, k, F.desc("score"), F.asc("chunk_id"))
+
+
+def _best(query, score, ids, k: int):
+    """Positions of the k best of each query: greater scores first, then smaller ids."""
+    order = np.lexsort((ids, -score, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[nth < k]
+
+
+def _dense(unit: DataFrame, vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
+    asked = unit.toArrow()  # at most QUERY_BYTES
+    shared = unit.sparkSession.sparkContext.broadcast((asked["query_id"].to_pylist(), asked["u"].to_pylist()))
+    id_type, query_type = (vectors.schema[key].dataType, unit.schema["query_id"].dataType)
+
+    def run(batches):
+        names, rows = shared.value
+        q = np.array(rows, float).reshape(len(rows), -1)
+        least = np.full(len(names), -np.inf)
+        held = None  # query, score, id
+        for b in batches:
+            if not b.num_rows or not names:
+                continue
+            x = np.array(b.column(1).to_pylist(), float)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = np.divide(x, norm, out=x, where=norm > 0)
+            ids = np.array(b.column(0).to_pylist())
+            parts = [] if held is None else [held]
+            for at in range(0, len(names), 256):
+                score = np.round(x @ q[at : at + 256].T, 6) + 0.0
+                i, j = np.nonzero(score >= least[at : at + 256])
+                parts.append((j + at, score[i, j], ids[i]))
+            held = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            keep = _best(*held, k)
+            held = tuple(p[keep] for p in held)
+            n = np.bincount(held[0], minlength=len(names))
+            last = np.cumsum(n) - 1
+            least = np.where(n >= k, held[1][np.maximum(last, 0)], -np.inf)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in held[0]], to_arrow_type(query_type)), pa.array(held[2].tolist(), to_arrow_type(id_type)), pa.array(held[1])], names=["query_id", "chunk_id", "score"])
+
+    schema = f"query_id {query_type.simpleString()}, chunk_id {id_type.simpleString()}, score double"
+    return vectors.filter(F.col(vec).isNotNull()).select(F.col(key), F.col(vec)).mapInArrow(run, schema)
 
 
 def rrf_fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query_id, chunk_id, fused, rank, r0, r1, ...): sum of 1 / (k + rank); ties keep the lists' order."""
+    """(query_id, chunk_id, fused, rank, r0, r1, ..., s0, s1, ...): sum of 1 / (k + rank); ties keep the lists' order; s: the lists' scores."""
     every = None
     for n, r in enumerate(ranked):
-        own = r.select("query_id", "chunk_id", F.lit(n).alias("list"), "rank")
+        own = r.select("query_id", "chunk_id", F.lit(n).alias("list"), "rank", F.col("score") if "score" in r.columns else F.lit(None).cast("double").alias("score"))
         every = own if every is None else every.unionByName(own)
-    firsts = [F.min(F.when(F.col("list") == n, F.col("rank"))).alias(f"r{n}") for n in range(len(ranked))]
+    mine = lambda n, c: F.min(F.when(F.col("list") == n, F.col(c)))
+    firsts = [mine(n, c).alias(f"{c[0]}{n}") for c in ("rank", "score") for n in range(len(ranked))]
     fused = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 9).alias("fused"), *firsts)
     order = [F.desc("fused"), *[F.col(f"r{n}").asc_nulls_last() for n in range(len(ranked))]]
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
@@ -88,10 +149,8 @@ def fetch_payloads(top_ids: DataFrame, payloads: DataFrame, key: str = "chunk_id
 
 def hybrid(bm25: DataFrame, dense: DataFrame, payloads: DataFrame | None = None, k: int = TOPK, rrf_k: int = RRF_K) -> DataFrame:
     """(query_id, rank, chunk_id, fused_score, bm25_score, dense_score, payload...): scores missing from a list are 0."""
-    best = rrf_fuse(bm25, dense, k=rrf_k).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.col("fused").alias("fused_score"), "rank")
-    least = lambda r, name: r.groupBy("query_id", "chunk_id").agg(F.min("score").alias(name))
-    out = best.join(least(bm25, "bm25_score"), ["query_id", "chunk_id"], "left").join(least(dense, "dense_score"), ["query_id", "chunk_id"], "left")
-    out = out.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))).withColumn("dense_score", F.coalesce("dense_score", F.lit(0.0)))
+    best = rrf_fuse(bm25, dense, k=rrf_k).filter(F.col("rank") <= k)
+    out = best.select("query_id", "chunk_id", F.col("fused").alias("fused_score"), "rank", F.coalesce("s0", F.lit(0.0)).alias("bm25_score"), F.coalesce("s1", F.lit(0.0)).alias("dense_score"))
     if payloads is None:
         return out
     keep = ["chunk_id", *[c for c in PAYLOAD if c in payloads.columns]]

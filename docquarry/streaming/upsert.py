@@ -70,4 +70,4 @@ def upsert_stream(spark: SparkSession, source: str, schema, path: str, checkpoin
 
 def with_point_ids(vec: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
     """For vector upserts: points keyed by the stable hash of the chunk id."""
-    return lambda df: df.withColumn("point_id", T.stable_int_id("chunk_id")).withColumn("vec", T.normalised(vec(F.col("text"))))
+    return lambda df: df.withColumn("point_id", T.stable_int_id("chunk_id")).withColumn("vec", vec(F.col("text"))).withColumn("vec", T.normalised("vec"))

@@ -53,6 +53,36 @@ def test_dense_blocks(spark):
     assert len(got) == 400 and all(r["score"] == 1.0 for r in got)
 
 
+def test_dense_ties_and_parts(spark, monkeypatch):
+    """Ties go to the smaller id, whatever the batches, the blocks of queries and the kind of id; zero vectors score 0."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 64)
+    rows = [(f"c{k:03d}", [float(k % 3), 1.0]) for k in range(60)] + [("zero", [0.0, 0.0]), ("none", None)]
+    v = spark.createDataFrame(rows, "chunk_id string, vec array<double>").repartition(7)
+    q = spark.createDataFrame([(n, [x, 1.0]) for n, x in enumerate((0.0, 1.0, 2.0, -1.0, 5.0, 0.5, 3.0))], "query_id int, query_vec array<double>")
+    got = {}
+    for r in search.dense_search(q, v, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    for n, u in ((r["query_id"], r["query_vec"]) for r in q.collect()):
+        cos = lambda x, u=u: round((x[0] * u[0] + x[1] * u[1]) / ((math.hypot(*x) or 1) * math.hypot(*u)), 6) + 0.0
+        want = sorted(((i, cos(x)) for i, x in rows if x), key=lambda t: (-t[1], t[0]))[:5]
+        assert got[n] == want
+
+
+def test_phrases(spark):
+    docs = spark.createDataFrame([("a", "the dog bites the man; the dog bites"), ("b", "man bites the dog"), ("c", "dog, BITES!"), ("d", None)], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "dog bites"), (2, "the the"), (3, ""), (4, "man bites the dog")], "query_id int, query string")
+    got = [(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in search.phrase_search(q, docs).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "a", 2.0, 1), (1, "c", 1.0, 2), (4, "b", 1.0, 1)]
+
+
+def test_bm25_beyond_the_terms_in_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} and w{k % 3}") for k in range(60)], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "w1 w2"), (2, "and w4")], "query_id int, query string")
+    few = search.bm25_search(q, docs, 10).collect()
+    monkeypatch.setattr(search, "ASKED", 0)
+    assert sorted(few) == sorted(search.bm25_search(q, docs, 10).collect())
+
+
 def test_context_skips_and_continues(spark):
     rows = [(1, f"c{k}", k, "x" * n) for k, n in enumerate((400, 7000, 300, 0), 1)]
     df = spark.createDataFrame(rows, "query_id long, chunk_id string, rank int, text string")

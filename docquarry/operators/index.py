@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..streaming.upsert import Store
 
 FIELDS = ("text", "section")
 
@@ -98,8 +99,25 @@ def build_lexical(chunks: DataFrame, path: str, spec: LexicalSpec) -> DataFrame:
     return admission_counters(chunks, spec)
 
 
+def lexical_store(spark: SparkSession, path: str, fields: tuple[str, ...] = FIELDS, buckets: int = 64) -> Store:
+    """A store of documents that keeps postings and lengths with them: what a merge touches is indexed again, nothing else."""
+    lengths = lambda d: d.select("chunk_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), T.token_count(f).alias("len")) for f in fields])))
+    return Store(spark, path, "chunk_id", buckets, {"postings": lambda d: postings(d, "chunk_id", fields), "lengths": lengths})
+
+
 def open_lexical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{path}/{k}") for k in ("docs", "postings", "stats")}
+    """docs, postings and stats of a built index, or of the newest version of an upserted one."""
+    store = lexical_store(spark, path)
+    if not store.exists():
+        return {k: spark.read.parquet(f"{path}/{k}") for k in ("docs", "postings", "stats")}
+    stats = store.read("lengths").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    return {"docs": store.read(), "postings": store.read("postings"), "stats": stats}
+
+
+def open_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a built collection, or of the newest version of an upserted one."""
+    store = Store(spark, path, "chunk_id")
+    return store.read() if store.exists() else spark.read.parquet(path)
 
 
 def points(chunks: DataFrame, spec: VectorSpec) -> DataFrame:

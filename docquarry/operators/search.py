@@ -29,7 +29,8 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFram
 def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, df: DataFrame | None = None, mode: str = "or") -> DataFrame:
     """(query_id, chunk_id, score): Robertson's weights, summed over fields and distinct terms; mode ``and`` needs every term."""
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    held = post if "df" in post.columns else post.join(document_frequency(post) if df is None else df, ["field", "term"])
+    held = post.join(F.broadcast(asked.select("term").distinct()) if asked.limit(ASKED + 1).count() <= ASKED else asked.select("term").distinct(), "term", "left_semi")
+    held = held if "df" in post.columns else held.join(document_frequency(held) if df is None else df, ["field", "term"])
     met = asked.join(held, "term").join(F.broadcast(stats), "field")  # one row a field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -50,7 +50,7 @@ class SearchService:
     def __init__(self, spark: SparkSession, settings: SearchSettings, embed=None):
         self.settings, self.embed = settings, embed or plugins.hashing_embedder(defaults(settings.source)["dim"])
         self.lexical = index.open_lexical(spark, f"{settings.index_path}/lexical")
-        self.vectors = spark.read.parquet(f"{settings.index_path}/{settings.collection}")
+        self.vectors = index.open_points(spark, f"{settings.index_path}/{settings.collection}")
         found = index.collection_dim(self.vectors)
         index.check_dims(settings.collection, found, found, settings.expected_dim)
 

@@ -141,18 +141,61 @@ def test_vectors_and_dims(spark):
         index.check_dims("c", 8, 9)
 
 
+def chunks_of(store, *cols):
+    return {r["chunk_id"]: r["text"] for r in store.read().collect()}
+
+
 def test_upsert_stream(spark, tmp_path):
-    src, path, ck = tmp_path / "in", str(tmp_path / "idx"), str(tmp_path / "ck")
+    src, ck = tmp_path / "in", str(tmp_path / "ck")
     src.mkdir()
     schema = "chunk_id string, text string, n int"
+    store = upsert.Store(spark, str(tmp_path / "idx"))
 
-    def put(name, *rows):
+    def put(name, *rows, checkpoint=ck, order="n"):
         (src / name).write_text("".join(json.dumps(dict(zip(("chunk_id", "text", "n"), r, strict=True))) + "\n" for r in rows))
-        upsert.upsert_stream(spark, str(src), schema, path, ck, order="n").awaitTermination()
-        return {r["chunk_id"]: r["text"] for r in upsert.read(spark, path, schema).collect()}
+        upsert.upsert_stream(spark, str(src), schema, store, checkpoint, order=order).awaitTermination()
+        return chunks_of(store)
 
     assert put("1.jsonl", ("a", "one", 1), ("b", "two", 2), ("a", "uno", 3), ("c", " ", 4)) == {"a": "uno", "b": "two"}
     assert put("2.jsonl", ("b", "dos", 1), ("d", "new", 2)) == {"a": "uno", "b": "dos", "d": "new"}
     batch = spark.createDataFrame([("a", "again", 9)], schema)
-    upsert.merge(spark, path, batch, "chunk_id", 1)  # a replayed batch
-    assert {r["chunk_id"]: r["text"] for r in upsert.read(spark, path, schema).collect()}["a"] == "uno"
+    assert not store.merge(batch, ck, 1)  # a replayed batch
+    assert chunks_of(store)["a"] == "uno"
+    # a stream with a checkpoint of its own starts at epoch 0 and loses nothing
+    (src / "1.jsonl").unlink(), (src / "2.jsonl").unlink()
+    assert put("3.jsonl", ("e", "first", 1), ("e", "last", 1), checkpoint=str(tmp_path / "ck2"), order=None) == {"a": "uno", "b": "dos", "d": "new", "e": "last"}
+    assert store.merge(batch, "third", 0) and chunks_of(store)["a"] == "again"
+
+
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "s"), buckets=8)
+    store.merge(spark.range(100).selectExpr("cast(id AS string) AS chunk_id", "'x' AS text"), "w", 0)
+    store.merge(spark.createDataFrame([("5", "y")], "chunk_id string, text string"), "w", 1)
+    m = store.manifest()
+    assert sorted(m["at"]["rows"].values()) == [1] * 7 + [2] and store.read().count() == 100 and chunks_of(store)["5"] == "y"
+    store.merge(spark.createDataFrame([("6", "z", 1)], "chunk_id string, text string, more int"), "w", 2)
+    assert store.read().filter("more = 1").count() == 1 and store.read().count() == 100
+
+
+def test_search_sees_upserts(spark, tmp_path):
+    """Postings, frequencies and statistics after upserts equal those of an index built anew."""
+    docs = [(f"d{k}", f"w{k % 5} w{k % 3} common", f"s{k % 2}") for k in range(40)]
+    newer = [(f"d{k}", f"w{k % 4} fresh fresh", "s9") for k in range(0, 40, 7)] + [("e1", "fresh w1", "s1")]
+    schema = "chunk_id string, text string, section string"
+    store = index.lexical_store(spark, str(tmp_path / "a"), buckets=4)
+    store.merge(spark.createDataFrame(docs, schema), "w", 0)
+    store.merge(spark.createDataFrame(newer, schema), "w", 1)
+    now = spark.createDataFrame(list(({d[0]: d for d in docs} | {d[0]: d for d in newer}).values()), schema)
+    q = spark.createDataFrame([(1, "fresh w1"), (2, "common s9")], "query_id long, query string")
+    opened = index.open_lexical(spark, str(tmp_path / "a"))
+    assert opened["docs"].count() == 41
+    found = search.bm25_scores(q, opened["postings"], opened["stats"]).collect()
+    assert sorted(found) == sorted(search.bm25_scores(q, index.postings(now), index.field_stats(now)).collect()) and found
+    points = upsert.Store(spark, str(tmp_path / "p"))
+    embed = upsert.with_point_ids(plugins.hashing_embedder(8))
+    points.merge(embed(spark.createDataFrame(docs, schema)), "w", 0)
+    points.merge(embed(spark.createDataFrame(newer, schema)), "w", 1)
+    vectors = index.open_points(spark, str(tmp_path / "p"))
+    asked = q.select("query_id", plugins.hashing_embedder(8)(F.col("query")).alias("query_vec"))
+    want = search.dense_search(asked, embed(now), 5).collect()
+    assert sorted(search.dense_search(asked, vectors, 5).collect()) == sorted(want)

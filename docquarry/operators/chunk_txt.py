@@ -1,7 +1,7 @@
 """Plain-text chunking: paragraphs, sentence-aware splitting, size-bounded packing with overlap, section tracking.
 
-Paragraphs and splitting are also expressions; the packing of whole documents is a fold (see folds), in Arrow batches. A
-document never leaves its row, so nothing is shuffled.
+Paragraphs, splitting and packing are folds over a document (see folds), in Arrow batches. A document never leaves its
+row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,43 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import folds
-from .folds import MAX
 
 VERSION = "pptxt-0.1"
 
 
 def paragraphs(text: Column | str) -> Column:
-    """array(struct(start, end, text, hint)): runs of non-blank lines that hold more than two letters or a space."""
-    def runs(s: Column) -> Column:
-        n = F.sequence(F.lit(1), F.size(s))
-        has = lambda i: F.coalesce(F.get(s, i - 1), F.lit("")) != ""
-        starts = F.filter(n, lambda i: has(i) & ((i == 1) | ~has(i - 1)))
-        ends = F.filter(n, lambda i: has(i) & ~has(i + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.array_join(F.slice(s, a, b - a + 1), "\n").alias("text")))
+    """array(struct(start, end, text, hint)): see folds.paragraphs."""
+    names = ("start", "end", "text", "hint")
+    one = lambda s: s.map(lambda t: [dict(zip(names, p, strict=True)) for p in folds.paragraphs(t or "")])
+    return F.pandas_udf(one, "array<struct<start:int,end:int,text:string,hint:string>>")(text)
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    spans = T.let(F.transform(T.lines(text), T.strip), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
-    kept = F.filter(spans, lambda p: (F.length(F.regexp_replace(p["text"], "[^0-9A-Za-z]+", "")) > 2) | F.contains(p["text"], F.lit(" ")))
-    return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), T.section_hint(p["text"]).alias("hint")))
 
-
-def _pack(parts: Column, most: int) -> Column:
-    """Joined by spaces as long as they fit ``most`` characters; a part that is longer stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(s, p):
-        fits = (s["now"] == "") | (F.length(s["now"]) + F.length(p) + 1 <= most)
-        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))).alias("done"), F.when(s["now"] == "", p).when(fits, F.concat(s["now"], F.lit(" "), p)).otherwise(p).alias("now"))
-
-    return F.aggregate(parts, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-
-
-def split_long(text: Column | str, most: int = MAX) -> Column:
-    """Segments of at most ``most`` characters, at sentence ends where possible, else between words."""
-    t = T.collapse(text)
-    sentences = F.filter(F.split(t, T.SENTENCE_END), lambda s: s != "")
-    wide = F.transform(_pack(sentences, most), lambda s: F.when(F.length(s) > most, _pack(F.split(s, " "), most)).otherwise(F.array(s)))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(F.flatten(wide))
+def split_long(text: Column | str) -> Column:
+    """Segments of at most MAX characters, at sentence ends where possible, else between words."""
+    return F.pandas_udf(lambda s: s.map(lambda t: folds.segments(t or "")), "array<string>")(text)
 
 
 _CHUNK = "array<struct<idx:int,section:string,start_line:int,end_line:int,text:string>>"

@@ -9,13 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from ..functions.text import SECTION as TEXT_SECTION
+
 MAX, HARD, MIN = 1800, 2400, 200
-#: The section names of plain texts.
-SECTION = re.compile(
-    r"\s*(?:\d+(?:\.\d+)*)?\s*(abstract|introduction|preliminaries|related work|results|"
-    r"proofs?|conclusion|acknowledg(?:e)?ments?|references?)\s*:??\s*\Z",
-    re.I,
-)
+SECTION = re.compile(TEXT_SECTION.replace("(?iU)^", "(?i)").replace("$", r"\Z"))
 _sentence = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
 
 
@@ -59,10 +56,9 @@ def _join(carry: str, parts: list[str]) -> str:
     return "\n\n".join([carry, *parts] if carry.strip() else parts).strip()
 
 
-def text_items(text: str) -> list[tuple[int, int, str, str]]:
-    """(first line, last line, text, section name) of every paragraph, long ones in segments."""
-    items, lines = [], [x.strip() for x in text.splitlines()]
-    n = 0
+def paragraphs(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(first line, last line, text, section name): runs of non-blank lines that hold more than two letters or a space."""
+    lines, n = [x.strip() for x in text.splitlines()], 0
     while n < len(lines):
         end = n
         while end < len(lines) and lines[end]:
@@ -71,10 +67,13 @@ def text_items(text: str) -> list[tuple[int, int, str, str]]:
             body = "\n".join(lines[n:end])
             if " " in body or len(re.sub("[^0-9A-Za-z]+", "", body)) > 2:
                 named = SECTION.match(lines[n])
-                hint = named[1].strip().title() if named else ""
-                items += [(n + 1, end, s, hint) for s in (segments(body) if len(body) > HARD else [body])]
+                yield n + 1, end, body, named[1].strip().title() if named else ""
         n = end + 1
-    return items
+
+
+def text_items(text: str) -> list[tuple[int, int, str, str]]:
+    """(first line, last line, text, section name) of every paragraph, long ones in segments."""
+    return [(a, b, s, hint) for a, b, body, hint in paragraphs(text) for s in (segments(body) if len(body) > HARD else [body])]
 
 
 def text_chunks(text: str) -> Iterator[tuple[int, str, int, int, str]]:

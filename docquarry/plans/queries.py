@@ -52,24 +52,24 @@ _SECTION_SQL = r"'(?i)^\s*(?:\d+(?:\.\d+)*)?\s*(abstract|introduction|preliminar
 _FIRST_SQL = r"trim(split_part(trim(text, e' \t\n\r'), chr(10), 1), e' \t\r')"
 
 
-@_query(
-    rf"""
-WITH f AS (SELECT doc_id, trim(text, e' \t\n\r') AS t, lower(text) AS low, lower(regexp_extract({_FIRST_SQL}, {_SECTION_SQL}, 1)) AS name FROM documents)
-SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN name LIKE 'reference%' THEN 'references_header' WHEN name <> '' THEN 'section_header:' || name
+_TYPE_SQL = r"""CASE WHEN t = '' THEN 'empty' WHEN name LIKE 'reference%' THEN 'references_header' WHEN name <> '' THEN 'section_header:' || name
   WHEN contains(low, 'abbrv') OR contains(low, 'bibliography') OR regexp_matches(t, '(?m)^\s*\[\s*\d+\s*\]') THEN 'references_block'
-  WHEN regexp_matches(t, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}') OR contains(low, 'university') OR contains(low, 'department') THEN 'front_matter'
-  WHEN regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])(theorem|lemma|proposition|corollary|definition)([^\p{{L}}\p{{N}}_]|$)') THEN 'math_body'
-  WHEN regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])(figure|table)([^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(t, '(?m)^\s*-?\d+(\.\d+)?\s*$') THEN 'figure_or_numeric'
-  ELSE 'body' END AS chunk_type FROM f"""
-)
+  WHEN regexp_matches(t, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') OR contains(low, 'university') OR contains(low, 'department') THEN 'front_matter'
+  WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(theorem|lemma|proposition|corollary|definition)([^\p{L}\p{N}_]|$)') THEN 'math_body'
+  WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(figure|table)([^\p{L}\p{N}_]|$)') OR regexp_matches(t, '(?m)^\s*-?\d+(\.\d+)?\s*$') THEN 'figure_or_numeric'
+  ELSE 'body' END"""
+
+
+@_query(rf"WITH f AS (SELECT doc_id, trim(text, e' \t\n\r') AS t, lower(text) AS low, lower(regexp_extract({_FIRST_SQL}, {_SECTION_SQL}, 1)) AS name FROM documents) SELECT doc_id, {_TYPE_SQL} AS chunk_type FROM f")
 def chunk_type(spark, sf_dir):
     return _docs(spark, sf_dir, chunk_type=T.chunk_type("text"))
 
 
-@_query(
-    r"""SELECT doc_id, trim(text, e' \t\n\r') <> '' AND (regexp_matches(text, '(?im)\(\s*\)|\[\s*\]|\{\s*\}|^\*{1,3}\s*$|^eq(\.|:)|eq:[\p{L}\p{N}_]+|\\(alpha|beta|gamma|lambda|Delta|nabla)\b|(^|[^\p{L}\p{N}_])[A-Z][\p{L}\p{N}_]*\s*=\s*$')
-    OR regexp_matches(text, '(?m)[=+\-*/]\s*$')) AS math_loss FROM documents"""
-)
+_LOSS_SQL = r"""(trim(text, e' \t\n\r') <> '' AND (regexp_matches(text, '(?im)\(\s*\)|\[\s*\]|\{\s*\}|^\*{1,3}\s*$|^eq(\.|:)|eq:[\p{L}\p{N}_]+|\\(alpha|beta|gamma|lambda|Delta|nabla)\b|(^|[^\p{L}\p{N}_])[A-Z][\p{L}\p{N}_]*\s*=\s*$')
+    OR regexp_matches(text, '(?m)[=+\-*/]\s*$')))"""
+
+
+@_query(f"SELECT doc_id, {_LOSS_SQL} AS math_loss FROM documents")
 def math_loss(spark, sf_dir):
     return _docs(spark, sf_dir, math_loss=T.math_loss("text"))
 
@@ -170,12 +170,49 @@ def _files(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file"), "text")
 
 
-@_query()
+def _greedy(name: str, items: str, key: str, gap: int, lead: int) -> str:
+    """Of items (key, n from 1, txt): (key, n, c), the number of the chunk that the greedy packing gives each."""
+    grown = f"{name}.size + length(i.txt) + {gap}"
+    cut = f"({grown} > 2400 OR ({grown} > 1800 AND {name}.size >= 200))"
+    return (
+        f"{name}({key}, n, size, c) AS (SELECT {key}, n, length(txt) + {lead}, 0 FROM {items} WHERE n = 1 UNION ALL "
+        f"SELECT i.{key}, i.n, CASE WHEN {cut} THEN length(i.txt) + {lead} ELSE {grown} END, {name}.c + {cut}::INT FROM {name} JOIN {items} i ON i.{key} = {name}.{key} AND i.n = {name}.n + 1)"
+    )
+
+
+def _merged(items: str, packed: str, key: str) -> str:
+    """(key, c, start_line, end_line, text): the texts of each chunk with the last one before it."""
+    return rf"""SELECT i.{key}, p.c, min(start_line) AS start_line, max(end_line) AS end_line, max(i.n) AS last,
+      trim(coalesce((SELECT o.txt || e'\n\n' FROM {items} o WHERE o.{key} = i.{key} AND o.n = min(i.n) - 1 AND trim(o.txt, e' \t\n\r') <> ''), '') || string_agg(txt, e'\n\n' ORDER BY i.n), e' \t\n\r') AS text
+      FROM {items} i JOIN {packed} p ON p.{key} = i.{key} AND p.n = i.n GROUP BY i.{key}, p.c"""
+
+
+_TITLE_SQL = "CASE name WHEN 'related work' THEN 'Related Work' ELSE upper(left(name, 1)) || substr(name, 2) END"
+_TXT_SQL = rf"""
+{_PARAS_SQL},
+long AS (SELECT doc_id, start_line, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM paras WHERE length(text) > 2400),
+sent AS (SELECT doc_id, start_line, CASE WHEN length(t) <= 1800 THEN {{'done': [t], 'now': ''}} ELSE {_fold(r"list_filter(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '')")} END AS r FROM long),
+wide AS (SELECT doc_id, start_line, u.k, x[u.k] AS s FROM (SELECT doc_id, start_line, CASE WHEN r.now = '' THEN r.done ELSE list_append(r.done, r.now) END AS x FROM sent), unnest(range(1, len(x) + 1)) AS u(k)),
+word AS (SELECT doc_id, start_line, k, CASE WHEN length(s) <= 1800 THEN {{'done': [s], 'now': ''}} ELSE {_fold("string_split(s, ' ')")} END AS r FROM wide),
+segs AS (SELECT doc_id, start_line, k, u.j, y[u.j] AS seg FROM (SELECT doc_id, start_line, k, CASE WHEN r.now = '' THEN r.done ELSE list_append(r.done, r.now) END AS y FROM word), unnest(range(1, len(y) + 1)) AS u(j)),
+items AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.start_line, k, j) AS n, p.start_line, p.end_line, coalesce(seg, p.text) AS txt,
+          lower(regexp_extract(split_part(p.text, chr(10), 1), {_SECTION_SQL}, 1)) AS name FROM paras p LEFT JOIN segs s ON s.doc_id = p.doc_id AND s.start_line = p.start_line),
+{_greedy("g", "items", "doc_id", 2, 0)},
+raw AS (SELECT *, 'doc' || doc_id || '::L' || start_line || '-' || end_line || '::c' || c AS id FROM ({_merged("items", "g", "doc_id")}))"""
+
+
+@_query(
+    rf"""WITH RECURSIVE {_TXT_SQL},
+f AS (SELECT id, doc_id, start_line, end_line, text, text AS t, lower(text) AS low, lower(regexp_extract({_FIRST_SQL}, {_SECTION_SQL}, 1)) AS name,
+      (SELECT arg_max({_TITLE_SQL}, n) FROM items i WHERE i.doc_id = raw.doc_id AND i.n <= raw.last AND name <> '') AS held FROM raw)
+SELECT id AS chunk_id, 'doc' || doc_id AS paper_id, coalesce(held, nullif({_TITLE_SQL}, ''), left({_FIRST_SQL}, 120)) AS section, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, {_TYPE_SQL} AS chunk_type, text,
+  length(text)::INTEGER AS text_len, greatest(1, least(greatest({_WORDS}, 1) * 2, length(text) // 4))::INTEGER AS token_estimate, {_LOSS_SQL} AS has_math_loss FROM f WHERE text <> ''"""
+)
 def txt_chunks(spark, sf_dir):
     return chunk_txt.normalise(chunk_txt.chunk(_files(spark, sf_dir))).select("chunk_id", "paper_id", "section", "start_line", "end_line", "chunk_type", "text", "text_len", "token_estimate", "has_math_loss")
 
 
-@_query()
+@_query(rf"WITH RECURSIVE {_TXT_SQL} SELECT a.id, b.id AS neighbor_id, CASE WHEN b.c < a.c THEN 'previous' ELSE 'next' END AS direction FROM raw a JOIN raw b ON a.doc_id = b.doc_id AND abs(a.c - b.c) = 1")
 def txt_neighbors(spark, sf_dir):
     return chunk_txt.chunk(_files(spark, sf_dir)).select("id", F.explode("neighbors").alias("n")).select("id", F.col("n.id").alias("neighbor_id"), "n.direction")
 
@@ -186,12 +223,42 @@ def _markdown(spark, sf_dir) -> DataFrame:
     return chunk_md.html_to_markdown(_t(spark, sf_dir, "pages"))
 
 
-@_query()
+_HEADS_SQL = "replace(replace(replace(regexp_replace(regexp_replace(%s, '(?is)<(p|div|li|tr|article|section|br)\\b[^>]*>', e'\\n\\n', 'g'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+def _html_sql() -> str:
+    h = "regexp_replace(html, '(?is)" + "|".join(rf"<{t}\b.*?</{t}>" for t in ("script", "style", "nav", "footer", "head")) + "', '', 'g')"
+    for level in range(6, 0, -1):
+        h = rf"regexp_replace({h}, '(?is)<h{level}\b[^>]*>(.*?)</h{level}>', e'\n\n{'#' * level} \\1\n\n', 'g')"
+    return rf"trim(regexp_replace({_HEADS_SQL % h}, '\n{{3,}}', e'\n\n', 'g'), e' \t\n\r')"
+
+
+# Sections of one level, without fences: what the pages hold.
+_MD_SQL = rf"""
+md AS (SELECT 'page' || page_id AS page, {_html_sql()} AS t FROM pages),
+mdlines AS (SELECT page, u.n, l[u.n] AS s FROM (SELECT page, string_split(t, chr(10)) AS l FROM md WHERE t <> ''), unnest(range(1, len(l) + 1)) AS u(n)),
+marked AS (SELECT *, starts_with(ltrim(s, e' \t'), '#') AS head, trim(s, e' \t\r') = '' AS blank FROM mdlines),
+placed AS (SELECT *, sum(head::INT) OVER w AS sec, sum(head::INT) OVER w + coalesce(sum(blank::INT) OVER (PARTITION BY page ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS par FROM marked WINDOW w AS (PARTITION BY page ORDER BY n)),
+heads AS (SELECT page, sec, length(regexp_extract(ltrim(s, e' \t'), '^\S+')) AS level, substr(ltrim(s, e' \t'), instr(ltrim(s, e' \t'), ' ') + 1) AS title FROM placed WHERE head),
+mparas AS (SELECT page || ':' || sec AS sid, page, sec, min(n) AS start_line, max(n) AS end_line, rtrim(string_agg(s, chr(10) ORDER BY n), e' \t\n\r') AS txt FROM placed GROUP BY page, sec, par),
+mitems AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start_line) AS n FROM mparas)"""
+
+
+@_query(
+    rf"""WITH {_MD_SQL} SELECT m.page || '.md' AS file, coalesce(level, 0)::INTEGER AS level, coalesce(title, '') AS title, coalesce(trim(title), '') AS path, min(start_line)::INTEGER AS start, max(end_line)::INTEGER AS "end"
+    FROM mitems m LEFT JOIN heads USING (page, sec) GROUP BY m.page, sec, level, title"""
+)
 def md_sections(spark, sf_dir):
     return chunk_md.sections(_markdown(spark, sf_dir)).select("file", F.inline("sections"))
 
 
-@_query()
+@_query(
+    rf"""WITH RECURSIVE {_MD_SQL}, {_greedy("mg", "mitems", "sid", 1, 1)}, mraw AS ({_merged("mitems", "mg", "sid")}),
+    f AS (SELECT split_part(r.sid, ':', 1) AS page, coalesce(trim(title), '') AS section, r.c, start_line, end_line, text,
+          count(*) OVER (PARTITION BY split_part(r.sid, ':', 1)) AS many, row_number() OVER (PARTITION BY split_part(r.sid, ':', 1) ORDER BY start_line) AS pos FROM mraw r LEFT JOIN heads h ON h.page || ':' || h.sec = r.sid)
+    SELECT page || '::L' || start_line || '-' || end_line || '::s' || c AS chunk_id, page AS paper_id, section, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, text, length(text)::INTEGER AS text_len,
+      greatest(1, least(greatest({_WORDS}, 1) * 2, length(text) // 4))::INTEGER AS token_estimate, 0 AS equation_count, ((pos > 1)::INT + (pos < many)::INT) AS n_neighbors FROM f WHERE text <> ''"""
+)
 def md_chunks(spark, sf_dir):
     return chunk_md.normalise(chunk_md.link(chunk_md.chunk(_markdown(spark, sf_dir)))).select("chunk_id", "paper_id", "section", "start_line", "end_line", "text", "text_len", "token_estimate", "equation_count", F.size("neighbors").alias("n_neighbors"))
 

@@ -101,8 +101,8 @@ def section_name(x: Column | str) -> Column:
     return F.lower(F.regexp_extract(first_line(x), SECTION, 1))
 
 
-def section_hint(x: Column | str) -> Column:
-    return F.initcap(section_name(x))
+def section_hint(x: Column | str, name: Column | None = None) -> Column:
+    return F.initcap(section_name(x) if name is None else name)
 
 
 def math_loss(x: Column | str) -> Column:
@@ -110,9 +110,10 @@ def math_loss(x: Column | str) -> Column:
     return (strip(t) != "") & (t.rlike(MATH_LOSS) | t.rlike(OPERATOR_END))
 
 
-def chunk_type(x: Column | str) -> Column:
-    t = strip(F.coalesce(_c(x), F.lit("")))
-    low, name = F.lower(t), section_name(t)
+def chunk_type(x: Column | str, name: Column | None = None) -> Column:
+    """The kind of a chunk; ``name`` is its section_name, where that is known already."""
+    t = strip(F.coalesce(_c(x), F.lit(""))) if name is None else _c(x)
+    low, name = F.lower(t), section_name(t) if name is None else name
     return (
         F.when(t == "", "empty")
         .when(name.startswith("reference"), "references_header")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.layout import spread
 from . import folds
 
 VERSION = "ppmdc-0.1"
@@ -38,7 +39,7 @@ def sections(docs: DataFrame, file_col: str = "file", text_col: str = "text") ->
 
 def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """Raw chunks in document order, one row each: file, pos, id, section_path, start_line, end_line, text, labels, refs, equations_raw, equation_count, meta."""
-    d = docs.select(F.col(file_col).alias("file"), F.pandas_udf(_chunks, _CHUNK)(F.col(text_col)).alias("chunks"))
+    d = spread(docs).select(F.col(file_col).alias("file"), F.pandas_udf(_chunks, _CHUNK)(F.col(text_col)).alias("chunks"))
     rows = d.select("file", F.posexplode("chunks").alias("pos", "c")).select("file", "pos", "c.*")
     ident = F.concat(T.stem("file"), F.lit("::L"), "start_line", F.lit("-"), "end_line", F.lit("::s"), "idx")
     eq = T.equations("text")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.layout import spread
 from . import folds
 
 VERSION = "pptxt-0.1"
@@ -51,7 +52,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk(docs: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """Raw chunks, one row each: file, idx, id, section, start_line, end_line, text, neighbors."""
-    rows = docs.select(F.col(file_col).alias("file"), T.stem(F.coalesce(file_col, F.lit(""))).alias("stem"), F.col(text_col).alias("text")).mapInArrow(_chunks, _RAW)
+    rows = spread(docs).select(F.col(file_col).alias("file"), T.stem(F.coalesce(file_col, F.lit(""))).alias("stem"), F.col(text_col).alias("text")).mapInArrow(_chunks, _RAW)
     link = lambda c, way: F.when(F.col(c).isNotNull(), F.array(F.struct(F.col(c).alias("id"), F.lit(way).alias("direction")))).otherwise(F.array().cast(_LINK))
     return rows.withColumn("neighbors", F.concat(link("before", "previous"), link("after", "next"))).drop("before", "after")
 

@@ -63,14 +63,15 @@ def admission_counters(chunks: DataFrame, spec: LexicalSpec) -> DataFrame:
     return chunks.agg(F.count_if(spec.keep()).alias("indexed"), F.count_if(~spec.keep()).alias("skipped_filter"))
 
 
-def postings(docs: DataFrame, key: str = "chunk_id", fields=FIELDS, terms: list[str] | None = None) -> DataFrame:
+def postings(docs: DataFrame, key: str = "chunk_id", fields=FIELDS, terms: DataFrame | None = None) -> DataFrame:
     """(field, term, chunk_id, tf, len): how often each term (of ``terms``, if they are given) stands in each field of each document."""
     parts = [docs.select(F.lit(f).alias("field"), F.col(key).alias("chunk_id"), T.tokens(f).alias("t")) for f in fields]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    held = F.col("t") if terms is None else F.filter("t", lambda x: x.isin(terms))
-    rows = every.select("field", "chunk_id", F.size("t").alias("len"), F.explode(held).alias("term"))
+    rows = every.select("field", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("field", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 

@@ -5,19 +5,24 @@ Scores are rounded before ranking, so that an order of addition never decides a
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ..functions import text as T
+from ..sources.layout import spread
 from .index import document_frequency, field_stats, positions, postings
 
 K1, B, RRF_K, CANDIDATES, TOPK = 1.2, 0.75, 60, 200, 10
-#: Terms that are looked up in place, and bytes of queries that go to the workers at once.
-ASKED, QUERY_BYTES = 20_000, 64 << 20
+#: Terms that are broadcast, bytes of queries that go to the workers at once, and terms x queries that do.
+ASKED, QUERY_BYTES, WEIGHTS = 200_000, 64 << 20, 1 << 25
 PAYLOAD = ("paper_id", "section", "source_file", "start_line", "end_line", "labels", "equations_raw", "text")
 
 
@@ -28,33 +33,84 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFram
 
 def bm25_scores(queries: DataFrame, post: DataFrame, stats: DataFrame, df: DataFrame | None = None, mode: str = "or") -> DataFrame:
     """(query_id, chunk_id, score): Robertson's weights, summed over fields and distinct terms; mode ``and`` needs every term."""
+    return _scores(queries, post.join(_asked(queries), "term", "left_semi"), stats, df, mode)
+
+
+def _scores(queries: DataFrame, held: DataFrame, stats: DataFrame, df: DataFrame | None = None, mode: str = "or") -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    held = post.join(F.broadcast(asked.select("term").distinct()) if asked.limit(ASKED + 1).count() <= ASKED else asked.select("term").distinct(), "term", "left_semi")
-    held = held if "df" in post.columns else held.join(document_frequency(held) if df is None else df, ["field", "term"])
+    held = held if "df" in held.columns else held.join(document_frequency(held) if df is None else df, ["field", "term"])
     met = asked.join(held, "term").join(F.broadcast(stats), "field")  # one row a field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    out = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count_distinct("term").alias("terms"))
+    score = F.round(F.sum(weight), 6).alias("score")
+    out = met.groupBy("query_id", "chunk_id").agg(score, *([F.count_distinct("term").alias("terms")] if mode == "and" else []))
     if mode == "and":
         out = out.join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked")), "query_id").filter("terms = asked")
     return out.select("query_id", "chunk_id", "score")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select(F.explode(F.array_distinct(T.tokens("query"))).alias("term")).distinct()
+    """The queries' terms; up to ``ASKED`` of them are broadcast, so that other terms stay where they are."""
+    terms = queries.select(F.explode(F.array_distinct(T.tokens("query"))).alias("term")).distinct()
+    return F.broadcast(terms) if terms.limit(ASKED + 1).count() <= ASKED else terms
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, fields=("text",), key: str = "chunk_id", mode: str = "or") -> DataFrame:
-    """Straight from documents: only the queries' terms leave a document, so no index of the whole vocabulary is shuffled.
+    """Straight from documents (unique ids): nothing but the queries' terms is counted, and no index is shuffled.
 
-    Up to ``ASKED`` terms are looked up while a document's tokens are still one array; beyond, they are joined.
+    One scan counts in how many documents each asked term stands; a second weighs each document's terms and multiplies
+    them with the queries, batch by batch, keeping the k best of every query in each task. Where terms x queries exceed
+    ``WEIGHTS`` the postings of the asked terms are joined instead, with the same scores.
     """
-    terms = [r["term"] for r in _asked(queries).limit(ASKED + 1).collect()]
-    if len(terms) <= ASKED:
-        post = postings(docs, key, fields, terms)
-    else:
-        post = postings(docs, key, fields).join(_asked(queries), "term", "left_semi")
-    return top(bm25_scores(queries, post, field_stats(docs, fields), mode=mode), k, F.desc("score"), F.asc("chunk_id"))
+    docs = spread(docs)
+    asked = queries.select("query_id", F.array_distinct(T.tokens("query")).alias("t")).filter(F.size("t") > 0)
+    terms, many = _asked(queries), asked.count()
+    stats = field_stats(docs, fields)
+    if terms.count() * many > WEIGHTS:
+        return top(_scores(queries, postings(docs, key, fields, terms), stats, mode=mode), k, F.desc("score"), F.asc("chunk_id"))
+    held = [docs.select(F.lit(f).alias("field"), F.explode(F.array_distinct(T.tokens(f))).alias("term")) for f in fields]
+    df = reduce(DataFrame.unionByName, held).join(terms, "term", "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    found = _weighed(asked.toArrow(), docs, key, fields, stats.collect(), df.toArrow(), k, mode)
+    return top(found, k, F.desc("score"), F.asc("chunk_id"))
+
+
+def _weighed(asked: pa.Table, docs: DataFrame, key: str, fields, stats: list, df: pa.Table, k: int, mode: str) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of each query in each task."""
+    terms = sorted({t for ts in asked["t"].to_pylist() for t in ts})
+    number = {t: n for n, t in enumerate(terms)}
+    wanted = np.zeros((len(terms), asked.num_rows))
+    for j, ts in enumerate(asked["t"].to_pylist()):
+        wanted[[number[t] for t in ts], j] = 1
+    average = {r["field"]: (r["n_docs"], r["avg_len"]) for r in stats}
+    idf = {f: np.zeros(len(terms)) for f in fields}
+    for f, t, n in zip(*(df[c].to_pylist() for c in ("field", "term", "df")), strict=True):
+        idf[f][number[t]] = math.log(1 + (average[f][0] - n + 0.5) / (n + 0.5))
+    shared = docs.sparkSession.sparkContext.broadcast((asked["query_id"].to_pylist(), terms, wanted, idf))
+    id_type, query_type = docs.schema[key].dataType, asked.schema.field("query_id").type
+
+    def run(batches):
+        names, terms, wanted, idf = shared.value
+        values, best = pa.array(terms, pa.string()), Best(len(names), k)
+        step = max(1, (1 << 22) // max(1, len(terms)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                score, some = np.zeros((b.num_rows, len(names))), np.zeros((b.num_rows, len(terms)))
+                for f, column in zip(fields, b.columns[1:], strict=True):
+                    size = column.value_lengths().to_numpy(zero_copy_only=False)
+                    term = pc.fill_null(pc.index_in(column.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+                    doc = np.repeat(np.arange(b.num_rows), size)
+                    tf = np.bincount(doc[term >= 0] * len(terms) + term[term >= 0], minlength=b.num_rows * len(terms)).reshape(b.num_rows, -1)
+                    norm = K1 * (1 - B + B * size / (average[f][1] or 1))
+                    score += (idf[f] * tf * (K1 + 1) / (tf + norm[:, None])) @ wanted
+                    some += tf
+                met = (some > 0) @ wanted
+                hit = met == wanted.sum(axis=0) if mode == "and" else met > 0
+                best.add(np.where(hit, np.round(score, 6), -np.inf), np.array(b.column(0).to_pylist()))
+        yield from best.rows(names, query_type, to_arrow_type(id_type))
+
+    schema = f"query_id {from_arrow_type(query_type).simpleString()}, chunk_id {id_type.simpleString()}, score double"
+    return docs.select(F.col(key), *[T.tokens(f).alias(f"t{n}") for n, f in enumerate(fields)]).mapInArrow(run, schema)
 
 
 def phrase_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, field: str = "text", key: str = "chunk_id") -> DataFrame:
@@ -86,12 +142,32 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, ke
     return top(out, k, F.desc("score"), F.asc("chunk_id"))
 
 
-def _best(query, score, ids, k: int):
-    """Positions of the k best of each query: greater scores first, then smaller ids."""
-    order = np.lexsort((ids, -score, query))
-    first = np.flatnonzero(np.diff(query[order], prepend=-1))
-    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[nth < k]
+class Best:
+    """The k best ids of each query: greater scores first, then smaller ids; a score of -inf is none."""
+
+    def __init__(self, queries: int, k: int):
+        self.n, self.k, self.held = queries, k, None
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """score: ids x the queries from ``first`` on."""
+        least = self.least[first : first + score.shape[1]]
+        i, j = np.nonzero((score >= least) & (score > -np.inf))
+        new = (j + first, score[i, j], ids[i])
+        held = new if self.held is None else tuple(np.concatenate(p) for p in zip(self.held, new, strict=True))
+        order = np.lexsort((held[2], -held[1], held[0]))
+        begin = np.flatnonzero(np.diff(held[0][order], prepend=-1))
+        nth = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        order = order[nth < self.k]
+        self.held = tuple(p[order] for p in held)
+        n = np.bincount(self.held[0], minlength=self.n)
+        last = np.maximum(np.cumsum(n) - 1, 0)
+        self.least = np.where(n >= self.k, self.held[1][last], -np.inf) if len(order) else self.least
+
+    def rows(self, names: list, query_type: pa.DataType, id_type: pa.DataType):
+        if self.held is not None:
+            query, score, ids = self.held
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query], query_type), pa.array(ids.tolist(), id_type), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
 
 def _dense(unit: DataFrame, vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
@@ -101,29 +177,16 @@ def _dense(unit: DataFrame, vectors: DataFrame, k: int, key: str, vec: str) -> D
 
     def run(batches):
         names, rows = shared.value
-        q = np.array(rows, float).reshape(len(rows), -1)
-        least = np.full(len(names), -np.inf)
-        held = None  # query, score, id
+        q, best = np.array(rows, float).reshape(len(rows), -1), Best(len(names), k)
         for b in batches:
-            if not b.num_rows or not names:
-                continue
-            x = np.array(b.column(1).to_pylist(), float)
-            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            x = np.divide(x, norm, out=x, where=norm > 0)
-            ids = np.array(b.column(0).to_pylist())
-            parts = [] if held is None else [held]
-            for at in range(0, len(names), 256):
-                score = np.round(x @ q[at : at + 256].T, 6) + 0.0
-                i, j = np.nonzero(score >= least[at : at + 256])
-                parts.append((j + at, score[i, j], ids[i]))
-            held = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-            keep = _best(*held, k)
-            held = tuple(p[keep] for p in held)
-            n = np.bincount(held[0], minlength=len(names))
-            last = np.cumsum(n) - 1
-            least = np.where(n >= k, held[1][np.maximum(last, 0)], -np.inf)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in held[0]], to_arrow_type(query_type)), pa.array(held[2].tolist(), to_arrow_type(id_type)), pa.array(held[1])], names=["query_id", "chunk_id", "score"])
+            if b.num_rows and names:
+                x = np.array(b.column(1).to_pylist(), float)
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = np.divide(x, norm, out=x, where=norm > 0)
+                ids = np.array(b.column(0).to_pylist())
+                for at in range(0, len(names), 256):
+                    best.add(np.round(x @ q[at : at + 256].T, 6) + 0.0, ids, at)
+        yield from best.rows(names, to_arrow_type(query_type), to_arrow_type(id_type))
 
     schema = f"query_id {query_type.simpleString()}, chunk_id {id_type.simpleString()}, score double"
     return vectors.filter(F.col(vec).isNotNull()).select(F.col(key), F.col(vec)).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk_md, chunk_txt, evaluate, index, latex, plugins, rag, search
+from ..sources.layout import spread
 from ..streaming import upsert
 
 #: One place for each name: (query, SQL or None).
@@ -30,7 +31,7 @@ def _query(sql: str | None = None):
 
 
 def _docs(spark, sf_dir, **cols: Column) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    return spread(_t(spark, sf_dir, "documents")).select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 # Scalar functions
@@ -267,7 +268,7 @@ def md_chunks(spark, sf_dir):
 
 @_query(r"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY term")
 def document_frequency(spark, sf_dir):
-    post = index.postings(_t(spark, sf_dir, "documents"), "doc_id", ("text",))
+    post = index.postings(spread(_t(spark, sf_dir, "documents")), "doc_id", ("text",))
     return index.document_frequency(post).select("term", "df")
 
 

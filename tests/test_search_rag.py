@@ -78,9 +78,12 @@ def test_phrases(spark):
 def test_bm25_beyond_the_terms_in_place(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} and w{k % 3}") for k in range(60)], "chunk_id long, text string")
     q = spark.createDataFrame([(1, "w1 w2"), (2, "and w4")], "query_id int, query string")
-    few = search.bm25_search(q, docs, 10).collect()
+    docs = docs.withColumn("section", F.concat(F.lit("w"), (F.col("chunk_id") % 4).cast("string")))
+    how = [{}, {"mode": "and"}, {"fields": ("text", "section")}, {"fields": ("text", "section"), "mode": "and"}]
+    few = [sorted(search.bm25_search(q, docs, 10, **h).collect()) for h in how]
     monkeypatch.setattr(search, "ASKED", 0)
-    assert sorted(few) == sorted(search.bm25_search(q, docs, 10).collect())
+    monkeypatch.setattr(search, "WEIGHTS", 0)
+    assert few == [sorted(search.bm25_search(q, docs, 10, **h).collect()) for h in how] and all(few)
 
 
 def test_context_skips_and_continues(spark):

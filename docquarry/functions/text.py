@@ -206,7 +206,7 @@ def keyword_in_section(section: Column | str, section_path: Column | str, keywor
 
 def keyword_field(x: Column | str) -> Column:
     """The analyser of comma-separated keyword fields."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(_c(x), F.lit(""))), ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(F.lower(F.coalesce(_c(x), F.lit(""))), ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def catalogue_id(entry: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk_md, chunk_txt, evaluate, index, latex, plugins, rag, search
-from ..sources import archives, jsonl
+from ..sources import archives, catalogue, jsonl, sinks
 from .settings import SearchSettings, defaults
 
 
@@ -18,6 +18,30 @@ def prepare_corpus(raw: DataFrame) -> DataFrame:
     return latex.combine(archives.expand(raw).filter(F.lower("path").endswith(".tex")))
 
 
+def run_etl(spark: SparkSession, phrases, categories, path: str, fetch: str, archive: str, citations: str | None = None, cache: DataFrame | None = None, max_results: int = 300, delay: float = 3.0) -> dict[str, DataFrame]:
+    """From a catalogue query to clean text: papers, sources, one text each, and a report, all written under ``path``.
+
+    fetch, archive, citations: clients as "module:function" (see catalogue). texts/ has one file a paper, by its
+    base id; archives/ is the cache of a next run.
+    """
+    found = catalogue.latest_versions(catalogue.papers(catalogue.scan(spark, catalogue.search_query(phrases, categories), fetch, max_results)))
+    if citations:
+        cited = catalogue.fetch_citations(found, citations, delay=delay).withColumn("reference_list", F.array().cast("array<string>"))
+        found = catalogue.enrich(found, cited)
+    found.write.mode("overwrite").parquet(f"{path}/papers")
+    papers = spark.read.parquet(f"{path}/papers")
+    catalogue.fetch_archives(papers, cache, archive, delay=delay).write.mode("overwrite").parquet(f"{path}/archives")
+    archives_ = spark.read.parquet(f"{path}/archives")
+    texts = prepare_corpus(archives_.select(F.col("base_id").alias("paper"), "content"))
+    sinks.write_texts(texts, f"{path}/texts", "paper", "text")
+    out = {"papers": papers, "archives": archives_, "texts": sinks.read_texts(spark, f"{path}/texts")}
+    have = out["texts"].select(F.col("name").alias("base_id"), F.lit(True).alias("has_text"))
+    out["report"] = catalogue.widen(papers.select("base_id", "title"), archives_.select("base_id", F.lit(True).alias("has_source")), have).select(
+        "base_id", F.trim("title").alias("title"), F.coalesce("has_source", F.lit(False)).alias("has_source"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
+    jsonl.write(out["report"], f"{path}/report")
+    return out
+
+
 def chunk_markdown(docs: DataFrame, clock: int = 0) -> DataFrame:
     return chunk_md.normalise(chunk_md.link(chunk_md.chunk(docs)), clock)
 

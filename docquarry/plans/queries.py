@@ -293,17 +293,6 @@ def chunk_report(spark, sf_dir):
     return got.withColumn("paper_ids", F.array_join("paper_ids", " "))
 
 
-@_query("SELECT DISTINCT len(embedding)::INTEGER AS dim FROM embeddings")
-def collection_dim(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select(F.size("embedding").alias("dim")).distinct()
-
-
-@_query("SELECT CASE WHEN trim(props) = '' THEN 'blank' WHEN json_valid(props) THEN 'ok' ELSE 'decode_error' END AS disposition, count(*) AS n FROM events GROUP BY 1")
-def jsonl_dispositions(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    return e.groupBy(F.when(T.strip("props") == "", "blank").when(F.try_parse_json("props").isNotNull(), "ok").otherwise("decode_error").alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # Search
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -466,23 +455,12 @@ def upsert_latest(spark, sf_dir):
     return upsert.latest(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
-@_query("SELECT doc_id AS id, 'md' AS etl, text FROM documents WHERE lang = 'en' UNION ALL SELECT page_id, 'txt', NULL FROM pages")
-def union_tagged(spark, sf_dir):
-    md = _t(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("md").alias("etl"), "text")
-    return md.unionByName(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("txt").alias("etl")), allowMissingColumns=True)
-
-
-@_query("SELECT doc_id, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
-def adjacency(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source").orderBy("doc_id")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.lag("doc_id").over(w).alias("previous_id"), F.lead("doc_id").over(w).alias("next_id"))
-
-
 def queries() -> dict:
+    from . import literal_queries  # noqa: F401 - registers its own
+
     return {n: f for n, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {n: s for n, (_, s) in _ALL.items() if s}

@@ -7,11 +7,13 @@ import io
 import posixpath
 import re
 import tarfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b"
+_DAMAGE = (EOFError, OSError, zlib.error)
 MEMBER = "path string, content binary, kind string"
 
 
@@ -39,10 +41,13 @@ def members(content: bytes | None, header: str | None, ident: str):
                 if path and m.isfile():
                     yield path, tar.extractfile(m).read(), "tar"
             return
-    except tarfile.TarError:
+    except (tarfile.TarError, *_DAMAGE):
         pass
     if content[:2] == MAGIC:
-        yield inner_name(header, ident), gzip.decompress(content), "gzip"
+        try:
+            yield inner_name(header, ident), gzip.decompress(content), "gzip"
+        except _DAMAGE:  # cut short or damaged: the archive gives nothing, the job goes on
+            return
     elif b"\x00" not in content:
         yield inner_name(header, ident), content, "plain"
 

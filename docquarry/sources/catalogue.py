@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ class _Page(InputPartition):
 class CatalogueSource(DataSource):
     """``spark.read.format("paper_catalogue")``: one partition a page of ``BATCH`` results, at most ``max_results`` rows.
 
-    ``fetch`` (options: "module:function") gets (query, offset, limit) and returns entries; a page that fails is retried
-    three times by it or ends up empty.
+    ``fetch`` (options: "module:function") gets (query, offset, limit) and returns entries; a page that fails is tried three
+    times, with a growing pause (option ``delay``, seconds), and then is empty.
     """
 
     @classmethod
@@ -60,17 +61,66 @@ class CatalogueSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.query, self.most, self.fetch = options["query"], int(options.get("max_results", "300")), options["fetch"]
+        self.delay = float(options.get("delay", "3"))
 
     def partitions(self):
         return [_Page(o, min(BATCH, self.most - o)) for o in range(0, max(self.most, 0), BATCH)] or [_Page(0, 0)]
 
     def read(self, page):
-        import importlib
-
-        module, _, name = self.fetch.partition(":")
-        fetch: Callable = getattr(importlib.import_module(module), name)
         if page.limit:
-            yield from (tuple(r) for r in fetch(self.query, page.offset, page.limit)[: page.limit])
+            got = _tried(lambda: _client(self.fetch)(self.query, page.offset, page.limit), 3, self.delay)
+            yield from (tuple(r) for r in (got or [])[: page.limit])
+
+
+def _client(name: str) -> Callable:
+    import importlib
+
+    module, _, f = name.partition(":")
+    return getattr(importlib.import_module(module), f)
+
+
+def _tried(call: Callable, times: int, delay: float):
+    """What ``call`` returns; None after ``times`` failures, with a growing pause between them."""
+    import time
+
+    for k in range(times):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001 - a client may fail in any way; one paper's failure stops no job
+            if k + 1 < times:
+                time.sleep(delay * 2**k)
+    return None
+
+
+def fetch_citations(papers_: DataFrame, client: str, times: int = 3, delay: float = 1.0) -> DataFrame:
+    """(arxiv_id, citation_list): ids of the citing papers by ``client`` ("module:function" of a base id), nulls left out."""
+
+    def run(batches):
+        call = _client(client)
+        for b in batches:
+            got = [_tried(lambda i=i: call(i), times, delay) or [] for i in b.column(1).to_pylist()]
+            ids = [[x for r in rs if (x := ((r.get("citedPaper") or r.get("citingPaper") or {}).get("externalIds") or {}).get("ArXiv"))] for rs in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.string()))], names=["arxiv_id", "citation_list"])
+
+    return papers_.select("arxiv_id", "base_id").mapInArrow(run, "arxiv_id string, citation_list array<string>")
+
+
+def fetch_archives(papers_: DataFrame, cache: DataFrame | None, client: str, times: int = 3, delay: float = 3.0) -> DataFrame:
+    """(base_id, content): sources that the cache (same columns) has, and those that ``client`` ("module:function" of a name) gives.
+
+    A paper's candidate names are tried in turn; one that no name gives is left out.
+    """
+    todo = to_fetch(papers_, cache) if cache is not None else to_fetch(papers_, papers_.select("base_id", F.lit(None).cast("binary").alias("content")))
+    names = todo.groupBy("base_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "candidate"))), lambda c: c["candidate"]).alias("names"))
+
+    def run(batches):
+        call = _client(client)
+        for b in batches:
+            content = [next((c for n in names if (c := _tried(lambda n=n: call(n), times, delay))), None) for names in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], names=["base_id", "content"])
+
+    new = names.mapInArrow(run, "base_id string, content binary").filter("content IS NOT NULL")
+    return new if cache is None else cache.filter("octet_length(content) > 0").select("base_id", "content").unionByName(new)
 
 
 def scan(spark: SparkSession, query: str, fetch: str, max_results: int = 300) -> DataFrame:

@@ -30,7 +30,7 @@ from .common import held_out, result, scratch, stage, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
-MAX_WORD, ROUNDS, MOVE = 64, 20, 1e-3
+MAX_WORD, ROUNDS, MOVE, BATCH_TEXTS = 64, 20, 1e-3, 200
 _words = re.compile(r"[^\W\d_]+")
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     schema = f"doc_id {kinds[id_col]}, lang_pred string, score double, proportions map<string,double>" + "".join(f", `{c}` {kinds[c]}" for c in keep)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(run, schema)
     with scratch(spark):
-        return result(found, "languages")
+        return result(found, "languages", BATCH_TEXTS)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from .common import result, scratch, stage, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker's cache holds at most; others are tokenised each time.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 _tokenizers: dict[str, "_Chunks"] = {}
 
 

@@ -43,7 +43,7 @@ BANDS, ROWS, SKETCH, BATCH, MISS = 64, 8, 128, 32, 1e-6
 BLOCK, BLOCK_SHINGLES, HUB, BATCH_BLOCKS = 512, 1 << 19, 4096, 32
 #: Ids are broadcast to the document scan up to this many (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 100_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS + SKETCH, np.uint32) | np.uint32(1))

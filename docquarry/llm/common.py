@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker goes on to other stages, and its size counts there."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def leaving_nothing(run: Callable, forget: Callable | None = None) -> Callable:
+    """``run`` for mapInArrow; when a task ends, ``forget`` empties the worker's caches and free memory is given back."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,8 +114,6 @@ def _contracted(links: DataFrame) -> DataFrame:
     """The same components from fewer links: each task replaces its links by one from every node to its local root."""
 
     def run(batches):
-        import pyarrow as pa
-
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, result, scratch, stage, table
+from .common import held_out, leaving_nothing, result, scratch, stage, table
 
 N, BUCKETS, SMOOTH = 3, 1 << 15, 0.5
 MODEL_BYTES = 256 << 20
@@ -93,7 +93,7 @@ def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    part = docs.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, bucket long, n long")
+    part = docs.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(leaving_nothing(run), "lang string, bucket long, n long")
     return part.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"doc_id {kinds[id_col]}, lang_pred string, score double, proportions map<string,double>" + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(run, schema)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col)).mapInArrow(leaving_nothing(run), schema)
     with scratch(spark):
         return result(found, "languages", BATCH_TEXTS)
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, meetings, result, scratch, stage, table
+from .common import connected_components, leaving_nothing, meetings, result, scratch, stage, table
 
 WIDTH, THRESHOLD = 5, 80  # words a shingle, similarity in percent
 BANDS, ROWS, SKETCH, BATCH, MISS = 64, 8, 128, 32, 1e-6
@@ -63,6 +63,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +132,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp", "bands", "sketch"])
 
     schema = "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(leaving_nothing(run, _forget), schema)
 
 
 def _bounds(threshold: float) -> list[tuple[int, int]]:
@@ -161,7 +165,7 @@ def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
                 at = pa.array(alive)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(agree)], names=["a", "b", "agree"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(leaving_nothing(run), "a long, b long, agree long")
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -184,7 +188,7 @@ def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(z, pa.binary())], names=["fp", "z"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id", "left_semi")
-    found = texts.select("_text").mapInArrow(run, "fp binary, z binary").join(own.select("cls", "fp"), "fp")
+    found = texts.select("_text").mapInArrow(leaving_nothing(run, _forget), "fp binary, z binary").join(own.select("cls", "fp"), "fp")
     return stage(found.groupBy("cls").agg(F.min("z").alias("z")), "near-texts")  # the same text may come again under its id
 
 
@@ -221,7 +225,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(leaving_nothing(run, _forget), "a long, b long")
 
 
 def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -276,7 +280,7 @@ def _joined(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    return meetings(blocks, ["key"]).mapInArrow(run, "a long, b long")
+    return meetings(blocks, ["key"]).mapInArrow(leaving_nothing(run, _forget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import result, scratch, stage, table
+from .common import leaving_nothing, result, scratch, stage, table
 
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker's cache holds at most; others are tokenised each time.
@@ -136,7 +136,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(leaving_nothing(run), schema)
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def _packed(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacit
 
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sequence_id long, offset long"
-    return ranked.select(*keep, "rank").mapInArrow(run, schema)
+    return ranked.select(*keep, "rank").mapInArrow(leaving_nothing(run), schema)
 
 
 def default_tokenizer() -> str:

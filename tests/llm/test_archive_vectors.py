@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 
@@ -48,6 +49,30 @@ def test_archive(spark, tmp_path):
     assert n == len(rows)
 
 
+def test_foreign_files(spark, tmp_path):
+    def record(kind, mime, block, extra=b""):
+        return b"WARC/1.0\r\nWARC-Type: %s\r\n%scontent-length:%d\r\nContent-Type: %s\r\n\r\n%s\r\n\r\n" % (kind, extra, len(block), mime, block)
+
+    http = b"HTTP/1.1 200 OK\r\nX: \xff\r\n\r\n"
+    body = b"a\r\n\r\nWARC/1.0\r\n\xfe" * 100
+    records = [record(b"warcinfo", b"application/warc-fields", b"software: x\r\n\r\n"), record(b"response", b"application/http", http + body), record(b"response", b"application/http; msgtype=response", http + body, b"X-More:  odd \r\n"), record(b"revisit", b"application/http", http), record(b"response", b"application/http", b"no header"), record(b"metadata", b"text/plain", b"")]
+    at = tmp_path / "in"
+    at.mkdir()
+    (at / "a.warc").write_bytes(b"".join(records))
+    (at / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (at / "empty.warc").write_bytes(b"")
+    warc.archive_records(warc.read_warc(spark, str(at)), str(tmp_path / "kept"))
+    files = {}
+    for r in sorted(warc.restore_records(spark, str(tmp_path / "kept")).collect(), key=lambda r: r["nth"]):
+        name = r["file"].rpartition("/")[2]
+        files[name] = files.get(name, b"") + bytes(r["warc_head"]) + bytes(r["http_head"]) + bytes(r["payload"]) + b"\r\n\r\n"
+    assert files == {"a.warc": b"".join(records), "b.warc.gz": b"".join(records)}
+    assert spark.read.parquet(str(tmp_path / "kept/payloads")).count() == 4  # the fields, the body, nothing, "no header"
+    for damaged in (records[1][:-5], b"x" + records[1], records[1].replace(b"length:", b"size:")):
+        with pytest.raises(ValueError, match="WARC record"):
+            warc.split_records(damaged)
+
+
 def test_damage_is_seen(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "one"), (2, "v", "two")], "page_id long, url string, html string")
     warc.write_archive(df, str(tmp_path / "a"))

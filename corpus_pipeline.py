@@ -38,10 +38,14 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
 
     Texts that are null, empty or without words, and rows without an id, are near to nothing and stay. Rows that share the
-    smallest id of a group all stay: an id that repeats is one document.
+    smallest id of a group all stay: an id that repeats is one document. The ids that go are broadcast up to
+    ``near_dedup.BROADCAST_IDS``, so the texts stay where they are; beyond, both meet in a shuffled join.
     """
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = near_dedup.near_duplicates(docs)
+    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).filter("NOT _kept").select("_id")
+    gone = staged(gone, "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= near_dedup.BROADCAST_IDS else gone
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 1. Counting. Workers hash the words of whole training texts and combine words and word pairs before the shuffle; what
-   goes over the network are packed arrays of hashes and counts, by filter segment. The number of segments follows the
-   text, so a segment's owner always has about ``SEGMENT_CHARS`` characters' worth of pairs.
+   goes over the network are packed arrays of hashes and counts, by filter segment. A segment is a range of hashes, so
+   sorted hashes lie in the order of segments, and pairs are written as 32-bit steps from one to the next. The number of
+   segments follows the text, so a segment's owner always has about ``SEGMENT_CHARS`` characters' worth of pairs.
 2. The filter. An n-gram of count c has the level 1 + floor(log_1.5 c). The owner sets the bits of (n-gram, 1) ... (n-gram,
    level) in its segment, at ``BITS`` bits an item. Probing (n-gram, 1), (n-gram, 2), ... until one is absent gives the
    level back, and the level gives the expected count. Errors only raise a count; a pair's count is cut to its words'.
    Every count in a score, of words and of pairs, comes from the filter, whatever the size of the corpus.
 3. Scoring. P(w | v) = (c(vw) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)): Dirichlet smoothing of the
    pair model with the unigram model. The text's start is a history of its own, the end is a token.
-4. The filter is broadcast while its size, which is known by then, is at most ``BROADCAST_BYTES``. Beyond, the distinct
-   n-grams asked for go to the segments' owners instead, and the answers are joined to the documents.
+4. The filter is broadcast while its size, which is known by then, is at most ``BROADCAST_BYTES``. Beyond, texts are kept
+   in blocks of about ``FLUSH_TOKENS`` tokens, as places in the block's words. A block asks the segments' owners for its
+   distinct n-grams, packed as in counting; a byte comes back for each, in the same order, and meets the block. Rows are
+   streamed in the order of a sort, filter or block first: no task holds what is asked of a segment at once.
 5. Only the base score and n_known use exact counts. The most frequent words (at most ``HOT_WORDS``, a fixed bound) are
    broadcast with their counts; every other word of a document meets the whole vocabulary in a shuffled join.
 
-Words are known by 64-bit hashes.
+Words are known by 64-bit hashes, pairs by 48-bit ones: a pair meets another of a billion with probability 4e-6, and the
+filter's own errors are near 2e-2.
 
 Nulls: a null text is empty (one token, the end); a null id counts as the empty text in the split. Repeated rows are
 documents of their own. Without training rows N = V = 0 and every count is 0. Empty tables give empty results. Other
@@ -28,17 +32,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, stage, table
+from .common import held_out, leaving_nothing, result, scratch, stage, table
 
 BASE, BITS, PROBES, MU = 1.5, 8, 5, 64.0
 SEGMENT_CHARS, FLUSH_TOKENS = 8 << 20, 1 << 20
 BROADCAST_BYTES, HOT_WORDS, CACHE_WORDS = 256 << 20, 1 << 20, 200_000
 _END, _START = np.uint64(0xA5A5F00D12345677), np.uint64(0x5EED0FC0FFEE1235)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_S31, _S29, _S32 = np.uint64(31), np.uint64(29), np.uint64(32)
+_S31, _S29, _S32, _S16 = np.uint64(31), np.uint64(29), np.uint64(32), np.uint64(16)
 
 
 class _Words(dict):
@@ -52,6 +57,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _S31)) * _K[0]
     return (h ^ (h >> _S29)) * _K[1]
@@ -66,15 +75,41 @@ def tokens(text: str | None) -> np.ndarray:
     return h
 
 
-def pairs(t: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it."""
+def pairs(t: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+    """The hash of each token with the one before it; ``first``: where texts begin. 48 bits, above a constant."""
     before = np.empty_like(t)
-    before[0], before[1:] = _START, t[:-1]
-    return _mix(before * _K[2] + t) | np.uint64(1)
+    before[1:] = t[:-1]
+    before[first] = _START
+    return (_mix(before * _K[2] + t) >> _S16 << _S16) | np.uint64(1)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((_mix(h) >> _S32) * np.uint64(segments) >> _S32).astype(np.int64)
+    """Segments are ranges: in the order of the hashes."""
+    return ((h >> _S32) * np.uint64(segments) >> _S32).astype(np.int64)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """Pair hashes in order: the first and the 32-bit steps to the others, or all in 64 bits if a step is longer."""
+    v = p >> _S16
+    step = np.diff(v)
+    if int(step.max(initial=0)) >> 32:
+        return b"\1" + v.tobytes()
+    return b"\0" + v[:1].tobytes() + step.astype(np.uint32).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    if x[0]:
+        v = np.frombuffer(x, np.uint64, offset=1)
+    else:
+        v = np.cumsum(np.concatenate((np.frombuffer(x[1:9], np.uint64), np.frombuffer(x[9:], np.uint32).astype(np.uint64))), dtype=np.uint64)
+    return (v << _S16) | np.uint64(1)
+
+
+def _by_segment(w: np.ndarray, p: np.ndarray, segments: int):
+    """(segment, the part of the sorted words, the part of the sorted pairs) for each segment that has any."""
+    ws, ps = (np.searchsorted(segment_of(h, segments), np.arange(segments + 1)) for h in (w, p))
+    for k in np.flatnonzero((np.diff(ws) > 0) | (np.diff(ps) > 0)).tolist():
+        yield k, slice(ws[k], ws[k + 1]), slice(ps[k], ps[k + 1])
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -129,33 +164,29 @@ def count_ngrams(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
         held, n = [], 0
 
         def flush():
-            for kind, parts in ((0, held), (1, [pairs(t) for t in held])):
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                seg = segment_of(h, segments)
-                order = np.argsort(seg, kind="stable")
-                h, c, seg = h[order], c[order].astype(np.uint32), seg[order]
-                cut = np.flatnonzero(np.diff(seg, prepend=-1))
-                ends = [*cut[1:].tolist(), len(seg)]
-                rows = [(int(seg[a]), kind, h[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(cut.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "kind", "h", "c"])
+            t, first = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+            w, wc = np.unique(t, return_counts=True)
+            p, pc = np.unique(pairs(t, first), return_counts=True)
+            wc, pc = wc.astype(np.uint32), pc.astype(np.uint32)
+            rows = [(k, w[i].tobytes(), wc[i].tobytes(), packed(p[j]), pc[j].tobytes()) for k, i, j in _by_segment(w, p, segments)]
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)]
+            return pa.RecordBatch.from_arrays(cols, names=["segment", "w", "wc", "p", "pc"])
 
         for b in batches:
             for text in b.column(0):
                 held.append(tokens(text.as_py()))
                 n += len(held[-1])
                 if n >= FLUSH_TOKENS:
-                    yield from flush()
+                    yield flush()
                     held, n = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     def merge(table_: pa.Table) -> pa.Table:
-        kind = table_["kind"].to_numpy()
         both = []
-        for k in (0, 1):
-            at = np.flatnonzero(kind == k)
-            h = np.frombuffer(b"".join(table_["h"][int(i)].as_py() for i in at), np.uint64)
-            c = np.frombuffer(b"".join(table_["c"][int(i)].as_py() for i in at), np.uint32)
+        for k, read in (("w", lambda x: np.frombuffer(x, np.uint64)), ("p", unpacked)):
+            h = np.concatenate([read(x) for x in table_[k].to_pylist()])
+            c = np.frombuffer(b"".join(table_[k + "c"].to_pylist()), np.uint32)
             order = np.argsort(h, kind="stable")
             h, c = h[order], c[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
@@ -166,8 +197,8 @@ def count_ngrams(docs: DataFrame, text_col: str, segments: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         return pa.table([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=["segment", "bits", "filter", "words", "counts", "n", "v"])
 
-    packed = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "segment long, kind int, h binary, c binary")
-    return packed.groupBy("segment").applyInArrow(merge, "segment long, bits long, filter binary, words array<long>, counts array<long>, n long, v long")
+    dealt = docs.select(F.col(text_col).cast("string")).mapInArrow(leaving_nothing(run, _forget), "segment long, w binary, wc binary, p binary, pc binary")
+    return dealt.groupBy("segment").applyInArrow(merge, "segment long, bits long, filter binary, words array<long>, counts array<long>, n long, v long")
 
 
 class Model:
@@ -221,45 +252,92 @@ def _smoothed(pair: np.ndarray, history: np.ndarray, word: np.ndarray, denominat
     return np.log10((pair + MU * (word + 0.1) / denominator) / (history + MU))
 
 
-_ASKED = pa.list_(pa.struct([("pair", pa.int64()), ("history", pa.int64()), ("word", pa.int64()), ("m", pa.int64())]))
+def _block(texts: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """(lengths, the words in order, the place of each token there), the last by byte and compressed."""
+    w, at = np.unique(np.concatenate(texts), return_inverse=True)
+    planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.array([len(t) for t in texts], np.int64).tobytes(), w.tobytes(), zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def _distinct_pairs(t: np.ndarray) -> list[dict]:
-    before = np.concatenate(([_START], t[:-1]))
-    _, at, m = np.unique(pairs(t), return_index=True, return_counts=True)
-    cols = (pairs(t)[at].view(np.int64), before[at].view(np.int64), t[at].view(np.int64), m)
-    return [dict(zip(("pair", "history", "word", "m"), map(int, x), strict=True)) for x in zip(*cols, strict=True)]
+def _opened(size: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, where texts begin, words, places) of a block."""
+    size = np.frombuffer(size, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(at), np.uint8).reshape(4, -1)
+    return size, np.cumsum(size) - size, np.frombuffer(words, np.uint64), np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _scores_by_owners(asked: DataFrame, model: Model) -> DataFrame:
-    """(uid, score): the distinct n-grams go to the owners of their segments, the answers are joined to the documents."""
-    segments, start_hash = model.segments, int(_START.astype(np.int64))
-    names = asked.select(F.explode(F.array("pair", "history", "word")).alias("h")).distinct()
+def _scores_by_owners(blocks: DataFrame, model: Model) -> DataFrame:
+    """(uid, score): the distinct n-grams of each block go to the owners of their segments, the levels come back to the block."""
+    segments, starts, d = model.segments, model.docs, model.denominator
 
-    def place(batches):
+    def ask(batches):
         for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segment_of(h, segments))], names=["h", "segment"])
-
-    def answer(ask: pa.Table, part: pa.Table) -> pa.Table:
-        h = ask["h"].to_numpy().view(np.uint64)
-        if part.num_rows and len(h):
-            bits = np.full(len(h), part["bits"][0].as_py(), np.int64)
-            est = _MIDDLE[probe(h, bits, np.zeros(len(h), np.int64), np.frombuffer(part["filter"][0].as_py(), np.uint8))]
-        else:
-            est = np.zeros(len(h))
-        return pa.table([ask["h"], pa.array(est, pa.float64())], names=["h", "est"])
-
-    placed = names.mapInArrow(place, "h long, segment long").groupBy("segment")
-    answers = placed.cogroup(model.parts.select("segment", "bits", "filter").groupBy("segment")).applyInArrow(answer, "h long, est double")
-    answers = stage(answers, "lm-answers")
-    rows = asked
-    for name in ("pair", "history", "word"):
-        rows = rows.join(answers.select(F.col("h").alias(name), F.col("est").alias(name + "_c")), name)
-    history = F.when(F.col("history") == start_hash, F.lit(float(model.docs))).otherwise(F.col("history_c"))
-    pair, word = F.least("pair_c", history, "word_c"), F.col("word_c")
-    p = F.log10((pair + MU * (word + 0.1) / model.denominator) / (history + MU))
-    return rows.groupBy("uid").agg(F.sum(F.col("m") * p).alias("score"))
+            for uid, *block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, first, w, at = _opened(*block)
+                p = np.unique(pairs(w[at], first))
+                rows = [(k, uid, w[i].tobytes(), packed(p[j])) for k, i, j in _by_segment(w, p, segments)]
+                cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=["segment", "block", "w", "p"])
+
+    def answer(batches):
+        own, bits, data, rows, asked = None, 0, np.zeros(1, np.uint8), [], []
+
+        def found():
+            """The levels of what was asked of one segment; all 0 if no training text has an n-gram there."""
+            h = np.concatenate(asked)
+            lev = probe(h, np.full(len(h), bits if rows[0][1] == own else 0, np.int64), np.zeros(len(h), np.int64), data).astype(np.uint8)
+            at = np.cumsum([0, *map(len, asked)]).tolist()
+            out = [lev[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+            cols = [pa.array(x, t) for x, t in zip((*zip(*rows, strict=True), out[::2], out[1::2]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            rows.clear(), asked.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["block", "segment", "w", "p"])
+
+        for b in batches:
+            for segment, block, size, w, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[0][1] != segment:
+                    yield found()
+                if block is None:
+                    own, bits, data = segment, size, np.frombuffer(w, np.uint8)
+                else:
+                    rows.append((block, segment))
+                    asked.extend((np.frombuffer(w, np.uint64), unpacked(p)))
+            if rows:
+                yield found()
+
+    def scored(batches):
+        uid, block, got = None, None, []
+
+        def done():
+            size, first, w, at = _opened(*block)
+            words, levels = (np.frombuffer(b"".join(x), np.uint8) for x in zip(*got, strict=True))
+            word = _MIDDLE[words][at]
+            history = np.empty(len(at))
+            history[1:] = word[:-1]
+            history[first] = starts
+            pair = _MIDDLE[levels][np.unique(pairs(w[at], first), return_inverse=True)[1]]
+            total = np.bincount(np.repeat(np.arange(len(size)), size), _smoothed(pair, history, word, d), len(size))
+            return pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(size))), pa.array(total)], names=["uid", "score"])
+
+        for b in batches:
+            for k, segment, size, w, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if segment is None:
+                    if block:
+                        yield done()
+                    uid, block, got = k, (size, w, p), []
+                else:
+                    got.append((w, p))
+        if block:
+            yield done()
+
+    with scratch(blocks.sparkSession):
+        asks = blocks.mapInArrow(leaving_nothing(ask), "segment long, block long, w binary, p binary").select("segment", "block", F.lit(None).cast("long").alias("bits"), "w", "p")
+        own = model.parts.select("segment", F.lit(None).cast("long").alias("block"), "bits", F.col("filter").alias("w"), F.lit(None).cast("binary").alias("p"))
+        dealt = own.unionByName(asks).repartition("segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+        answers = stage(dealt.mapInArrow(leaving_nothing(answer), "block long, segment long, w binary, p binary"), "lm-answers")
+        answers = answers.select("block", "segment", F.lit(None).cast("binary").alias("size"), "w", "p")
+        heads = blocks.select(F.col("uid").alias("block"), F.lit(None).cast("long").alias("segment"), "size", F.col("words").alias("w"), F.col("at").alias("p"))
+        met = heads.unionByName(answers).repartition("block").sortWithinPartitions("block", F.col("segment").asc_nulls_first())
+        return result(met.mapInArrow(leaving_nothing(scored), "uid long, score double"), "lm-scores")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -271,12 +349,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast((words, counts, model.filter_arrays() if by_broadcast else None))
     segments = model.segments
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["uid", "doc_id", "n_tokens", "known", "base", "score", "rest", "size", "words", "at"]
 
     def run(batches):
         from pyspark import TaskContext
 
         hot, hot_c, arrays = shared.value
         uid = TaskContext.get().partitionId() << 36
+        held, n, begin = [], 0, uid
+
+        def block(doc_id, rest):
+            """A row that has the block of the held texts, whose first is ``begin``, and nothing of a document."""
+            cols = [pa.array([begin]), pa.nulls(1, doc_id), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest))]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.binary()) for x in _block(held))], names=names)
+
         for b in batches:
             texts = [tokens(x.as_py()) for x in b.column(1)]
             size = np.array([len(t) for t in texts], np.int64)
@@ -297,31 +383,38 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 bits, start, data = arrays
                 look = lambda h: probe(h, bits[s := segment_of(h, segments)], start[s], data)
                 est = _MIDDLE[look(u)]
-                p = np.concatenate([pairs(x) for x in texts]) if texts else t
-                pu, pinv = np.unique(p, return_inverse=True)
+                pu, pinv = np.unique(pairs(t, edge), return_inverse=True)
                 pc = _MIDDLE[look(pu)][pinv]
                 w = est[inv]
-                first = np.zeros(len(t), bool)
-                first[edge[size > 0]] = True
                 history = np.empty(len(t))
                 history[1:] = w[:-1]
-                history[first] = starts
+                history[edge] = starts
                 total = np.bincount(doc, _smoothed(pc, history, w, d), len(texts))
-                asked = pa.array([[]] * len(texts), _ASKED)
             else:
-                total, asked = np.zeros(len(texts)), pa.array([_distinct_pairs(x) for x in texts], _ASKED)
-            cols = [pa.array(uid + np.arange(len(texts))), b.column(0), pa.array(size), pa.array(n_known), pa.array(base_sum), pa.array(total), rest, asked]
+                total = np.zeros(len(texts))
+            cols = [pa.array(uid + np.arange(len(texts))), b.column(0), pa.array(size), pa.array(n_known), pa.array(base_sum), pa.array(total), rest]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(texts), pa.binary())] * 3], names=names)
+            for k, x in enumerate(texts if arrays is None else []):
+                begin = begin if held else uid + k
+                held.append(x)
+                n += len(x)
+                if n >= FLUSH_TOKENS:
+                    yield block(b.column(0).type, rest.type)
+                    held, n = [], 0
             uid += len(texts)
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n_tokens", "known", "base", "score", "rest", "asked"])
+        if held:
+            yield block(b.column(0).type, rest.type)
 
-    schema = f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, rest array<struct<word:long,m:long>>, asked array<struct<pair:long,history:long,word:long,m:long>>"
-    first = stage(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "lm-first")
+    schema = f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, rest array<struct<word:long,m:long>>, size binary, words binary, at binary"
+    every = stage(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(leaving_nothing(run, _forget), schema), "lm-first")
+    shared.unpersist()
+    first, blocks = every.filter("n_tokens IS NOT NULL").drop("size", "words", "at"), every.filter("n_tokens IS NULL").select("uid", "size", "words", "at")
     rest = first.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.m")
     met = rest.join(model.vocabulary.filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * F.log10((F.col("c") + 0.1) / F.lit(d))).alias("base2"))
-    out = first.drop("rest", "asked").join(more, "uid", "left")
+    out = first.drop("rest").join(more, "uid", "left")
     if not by_broadcast:
-        out = out.drop("score").join(_scores_by_owners(first.select("uid", F.explode("asked").alias("a")).select("uid", "a.*"), model), "uid")
+        out = out.drop("score").join(_scores_by_owners(blocks, model), "uid")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), "score")
 
 

@@ -60,6 +60,39 @@ def test_lm_score_by_brute_force(documents):
     assert np.median(np.abs(gaps)) < 0.01 and max(map(abs, gaps)) < 0.25
 
 
+def test_lm_owners(documents, odd, none, spark, monkeypatch):
+    """With the filter at its owners less is shuffled than three times the text, and scores stay the same over many blocks and segments."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        bus.waitUntilEmpty(30_000)
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    model = lm_scoring.Model(documents.filter(~held_out("doc_id", 10, 0)))
+    before = moved()
+    lm_scoring.score(documents, model, broadcast_bytes=0).collect()
+    assert moved() - before < 3 * sum(len((r["text"] or "").encode()) for r in documents.collect())
+
+    scores = lambda df, model, **how: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm_scoring.score(df, model, **how).collect())
+    monkeypatch.setattr(lm_scoring, "SEGMENT_CHARS", 5_000)
+    monkeypatch.setattr(lm_scoring, "FLUSH_TOKENS", 3_000)
+    few = documents.filter("doc_id < 20")
+    for train, df in ((documents, documents), (few, documents), (documents.limit(0), few), (odd, odd), (odd, none)):
+        model = lm_scoring.Model(train)
+        assert scores(df, model) == scores(df, model, broadcast_bytes=0)
+    assert lm_scoring.Model(documents).segments > 20
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(2)
+    for n, high in ((1, 1 << 63), (1000, 1 << 63), (50_000, 1 << 58), (100_000, 1 << 62), (3, 1 << 18), (0, 1 << 63)):
+        t = rng.integers(0, high, n, np.uint64)
+        h = np.unique((t >> np.uint64(16) << np.uint64(16)) | np.uint64(1))
+        x = lm_scoring.packed(h)
+        assert (lm_scoring.unpacked(x) == h).all()
+    assert len(lm_scoring.packed(np.arange(1, 1 << 30, 1 << 16, np.uint64))) < 5 * (1 << 14)
+
+
 def test_lm_odd(odd, none, spark):
     check_lm(odd)
     assert lm_scoring.score(none, lm_scoring.Model(odd)).count() == 0
